@@ -14,8 +14,8 @@
 5. Union-find grouping of the verified links (components.py).
 
 Bound: let P be the pivot, and for a member X let s(X) = |X & P| + the number of X's shingles
-outside P that another member of P's group also has outside P. Then |X & Y| <= min(s(X), s(Y))
-for all members X, Y, and J(X, Y) >= t needs (1 + t) * |X & Y| >= t * (|X| + |Y|).
+outside P that another member of P's group also has outside P, r(X). Then |X & Y| <=
+min(|X & P|, |Y & P|) + min(r(X), r(Y)) for all members X, Y, and J(X, Y) >= t needs (1 + t) * |X & Y| >= t * (|X| + |Y|).
 """
 
 from __future__ import annotations
@@ -196,9 +196,14 @@ def _open_links(checked: DataFrame, comps: DataFrame, texts: DataFrame, size: in
     groups = materialize(groups.join(open_groups, "p"), "groups")
     shared = groups.select("p", F.explode("rest").alias("h")).groupBy("p", "h").agg(F.count("*").alias("k")).filter("k > 1").select("p", "h")
     also = groups.select("p", "x", F.explode("rest").alias("h")).join(shared, ["p", "h"]).groupBy("p", "x").agg(F.count("*").alias("r"))
-    able = groups.select("p", "x", "nx", "common", "c").join(also, ["p", "x"], "left").withColumn("s", F.col("common") + F.coalesce("r", F.lit(0))).drop("r")
+    # a pair that shares several groups is made in the first of them only; every group's bound holds for it
+    all_of_x = groups.groupBy("x").agg(F.collect_set("p").alias("ps"))
+    able = groups.select("p", "x", "nx", "common", "c").join(also, ["p", "x"], "left").withColumn("r", F.coalesce("r", F.lit(0))).withColumn("s", F.col("common") + F.col("r"))
     # x itself bounds its partners: (1 + t) s(x) >= t (|x| + |y|) and |y| >= t |x|
-    able = materialize(able.filter((1 + t) * F.col("s") >= t * (1 + t) * F.col("nx") - 1e-6).select("p", "x", "nx", "s", "c"), "able")
+    able = able.filter((1 + t) * F.col("s") >= t * (1 + t) * F.col("nx") - 1e-6).join(all_of_x, "x")
+    able = materialize(able.select("p", "x", "nx", "common", "r", "s", "c", "ps"), "able")
+    most = F.least("a.common", "b.common") + F.least("a.r", "b.r")
+    viable = ((1 + t) * most >= t * (F.col("a.nx") + F.col("b.nx")) - 1e-6) & (F.array_min(F.array_intersect("a.ps", "b.ps")) == F.col("a.p"))
 
     links = None
     done: DataFrame | None = None
@@ -206,10 +211,10 @@ def _open_links(checked: DataFrame, comps: DataFrame, texts: DataFrame, size: in
         crowd = able.groupBy("p").agg(F.countDistinct("c").alias("cs"), F.max(F.struct((F.col("s") / F.col("nx")).alias("q"), -F.col("x"))).alias("best")).filter("cs > 1").select("p", F.col("best.col2").alias("minus"))
         if last:
             a, b = able.alias("a"), able.alias("b")
-            pairs = a.join(b, "p").filter("a.c <> b.c and a.x < b.x").filter((1 + t) * F.least("a.s", "b.s") >= t * (F.col("a.nx") + F.col("b.nx")) - 1e-6).select(F.col("a.x").alias("p"), F.col("b.x").alias("x"))
+            pairs = a.join(b, (F.col("a.p") == F.col("b.p")) & F.expr("a.c <> b.c and a.x < b.x") & viable).select(F.col("a.x").alias("p"), F.col("b.x").alias("x"))
         else:
             a, b = able.alias("a"), able.join(crowd, "p").filter(F.col("x") == -F.col("minus")).alias("b")
-            pairs = a.join(b, "p").filter("a.c <> b.c").filter((1 + t) * F.least("a.s", "b.s") >= t * (F.col("a.nx") + F.col("b.nx")) - 1e-6).select(F.least("a.x", "b.x").alias("p"), F.greatest("a.x", "b.x").alias("x"))
+            pairs = a.join(b, (F.col("a.p") == F.col("b.p")) & F.expr("a.c <> b.c") & viable).select(F.least("a.x", "b.x").alias("p"), F.greatest("a.x", "b.x").alias("x"))
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["p", "x"], "left_anti")
