@@ -82,15 +82,15 @@ class Words:
     data: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the rows offsets[0:-1] .. offsets[1:]."""
+def words(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray = _CODES) -> Words:
+    """Words of the rows offsets[0:-1] .. offsets[1:]; bytes whose code is 0 separate them."""
     base = offsets[0]
     body, at = data[base : offsets[-1]], offsets - base
     n, docs = len(body), len(at) - 1
     if not n:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, U64), none, np.zeros(docs, np.int64), np.zeros(docs, np.int64), none, body)
-    solid = _WORD_BYTE[body]
+    solid = (codes != 0)[body]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     heads = at[:-1][at[:-1] < n]
@@ -98,7 +98,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     start = np.flatnonzero(begins)
     up, down = _powers(n)
     if len(start):
-        values = _CODES[body]
+        values = codes[body]
         values *= up[:n]
         h = np.add.reduceat(values, start)
         h *= down[start]

@@ -5,19 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .classlm import class_ngram_scores
+from .decontam import contaminated
+from .media import media_table
 from .neardup import near_duplicates
+from .packing import pack_documents
+from .quality import fit_ranker, held_out, score_quality
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path() -> str:
+    """Path of the byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_ngram_scores(_table(spark, sf_dir, "documents"), held_out=held_out(F.col("doc_id"), 7, 2))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, aside = _table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels").filter(~aside))
+    scored = score_toxicity(docs.select("doc_id", aside.alias("held_out"), "text"), model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, aside = _table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    model = fit_ranker(docs, _table(spark, sf_dir, "labels").filter(~aside), threshold=0.3)
+    scored = score_quality(docs.select("doc_id", aside.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_table(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_minhash_dedup": op10_minhash_dedup,
+    f.__name__: f for f in (op1_class_ngrams, op3_toxicity, op4_decontamination, op7_quality, op8_packing, op9_media, op10_minhash_dedup)
 }
 ORACLES: dict[str, str] = {}
