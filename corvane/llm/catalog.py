@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from .classlm import class_ngram_scores
 from .decontam import contaminated
+from .license_scan import scan_licenses
 from .media import media_table
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import fit_ranker, held_out, score_quality
 from .toxicity import fit_toxicity, score_toxicity
+from .urlfilter import HOST_RULES, PATTERN_RULES, judge_urls
+from .urlfilter import oracle as url_oracle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +45,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), HOST_RULES + PATTERN_RULES)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, aside = _table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
     model = fit_ranker(docs, _table(spark, sf_dir, "labels").filter(~aside), threshold=0.3)
@@ -62,6 +73,6 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_class_ngrams, op3_toxicity, op4_decontamination, op7_quality, op8_packing, op9_media, op10_minhash_dedup)
+    f.__name__: f for f in (op1_class_ngrams, op3_toxicity, op4_decontamination, op5_url_filter, op6_license_scan, op7_quality, op8_packing, op9_media, op10_minhash_dedup)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_url_filter": url_oracle(HOST_RULES + PATTERN_RULES)}
