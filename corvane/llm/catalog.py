@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .classlm import class_ngram_scores
@@ -13,6 +13,7 @@ from .license_scan import scan_licenses
 from .media import media_table
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .pii import KINDS, detect_pii, fit_trees, span_digest
 from .quality import fit_ranker, held_out, score_quality
 from .toxicity import fit_toxicity, score_toxicity
 from .urlfilter import HOST_RULES, PATTERN_RULES, judge_urls
@@ -34,6 +35,16 @@ def op1_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_ngram_scores(_table(spark, sf_dir, "documents"), held_out=held_out(F.col("doc_id"), 7, 2))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), fit_trees(spark))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii_base", lambda s: s["k"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    base = F.sha2(span_digest(F.col("pii_base")), 256)
+    return found.select("doc_id", *map(count, KINDS[:4]), base.alias("base_sha256"), span_digest(F.col("pii_spans")).alias("spans"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, aside = _table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels").filter(~aside))
@@ -72,7 +83,13 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_class_ngrams, op3_toxicity, op4_decontamination, op5_url_filter, op6_license_scan, op7_quality, op8_packing, op9_media, op10_minhash_dedup)
+    f.__name__: f for f in (op1_class_ngrams, op2_pii, op3_toxicity, op4_decontamination, op5_url_filter, op6_license_scan, op7_quality, op8_packing, op9_media, op10_minhash_dedup, pipeline)
 }
 ORACLES: dict[str, str] = {"op5_url_filter": url_oracle(HOST_RULES + PATTERN_RULES)}
