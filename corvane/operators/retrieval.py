@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Mapping
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from corvane.errors import RetrievalError, StoreError
 
@@ -33,12 +38,17 @@ def relevance(a: Column, b: Column) -> Column:
 
 def hash_embed(text: Column, dimension: int = DIMENSION) -> Column:
     """A deterministic embedding without a model: hashed words with signs, L2-normalised; blank texts count as one blank."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    words = F.when(F.size(words) == 0, F.array(F.lit(" "))).otherwise(words)
-    signed = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimension)).alias("i"), F.when(F.xxhash64(w, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    counts = F.aggregate(signed, F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<double>")), lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, v: k != x["i"]), F.create_map(x["i"], F.coalesce(F.try_element_at(acc, x["i"]), F.lit(0.0)) + x["s"])))
-    norm = F.sqrt(F.aggregate(F.map_values(counts), F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (F.coalesce(F.try_element_at(counts, i.cast("long")), F.lit(0.0)) / F.when(norm > 0, norm).otherwise(1.0)).cast("float"))
+
+    @arrow_udf("array<float>")
+    def embed(column: pa.Array) -> pa.Array:
+        out = np.zeros((len(column), dimension), np.float32)
+        for row, value in zip(out, column.to_pylist(), strict=True):
+            h = np.array([zlib.crc32(w.encode()) for w in re.findall(r"\w+", (value or "").lower()) or [" "]])
+            np.add.at(row, h % dimension, np.where(h >> 31, 1, -1))
+            row /= np.linalg.norm(row) or 1
+        return pa.array(list(out), pa.list_(pa.float32()))
+
+    return embed(text)
 
 
 def _bounded(queries: DataFrame) -> DataFrame:

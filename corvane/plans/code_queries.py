@@ -1 +1,105 @@
-"""Queries over program code."""
+"""Queries over program code and other inputs that SQL cannot express."""
+
+from __future__ import annotations
+
+import base64
+import io
+import zipfile
+
+from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+
+from corvane.operators import pyast, retrieval, structure
+from corvane.sources import files as sources
+
+from . import catalog, review, snippets
+from .adapters import source_files, table
+from .catalog import query
+
+
+@query()
+def ast_rules(spark, sf_dir):
+    return pyast.analyse_files(snippets.files(spark), ["repo_id"]).filter("kind = 'rule'").select("file_path", "rule_id", "start_line", "name", "confidence", "seq")
+
+
+@query()
+def solid_rules(spark, sf_dir):
+    return pyast.analyse_files(snippets.files(spark), ["repo_id"]).filter("kind = 'solid'").select("file_path", "rule_id", "name", "start_line", "end_line", "detail")
+
+
+@query()
+def function_metrics(spark, sf_dir):
+    return review.function_metrics(pyast.analyse_files(snippets.files(spark), ["repo_id"]))
+
+
+@query()
+def scan_errors(spark, sf_dir):
+    return pyast.analyse_files(snippets.files(spark), ["repo_id"]).filter("kind = 'error'").select("file_path", "name", "detail")
+
+
+@query()
+def parsed_structure(spark, sf_dir):
+    return structure.parsed_structure(snippets.files(spark), ["repo_id"])
+
+
+@query()
+def module_summary(spark, sf_dir):
+    files = snippets.files(spark)
+    return review.module_summary(files, pyast.analyse_files(files, ["repo_id"])).drop("ordinal")
+
+
+@query()
+def hierarchical_chunks(spark, sf_dir):
+    code = snippets.files(spark).select("repo_id", "file_path", "language", "content")
+    docs = source_files(spark, sf_dir).select("repo_id", "file_path", "language", "content")
+    return structure.hierarchical_chunks(code.union(docs), ["repo_id"])
+
+
+@query()
+def docstring_mask(spark, sf_dir):
+    @arrow_udf("array<int>")
+    def mask(column):
+        import pyarrow as pa
+
+        return pa.array([pyast.docstring_lines(x or "") for x in column.to_pylist()], pa.list_(pa.int32()))
+
+    rows = source_files(spark, sf_dir).select("file_path", "content").union(snippets.files(spark).select("file_path", "content"))
+    return rows.select("file_path", mask("content").alias("lines"))
+
+
+@query()
+def zip_scan(spark, sf_dir):
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
+        for path, _, content in snippets.FILES:
+            z.writestr(f"root/{path}", content)
+        z.writestr("root/../evil.py", "x = 1")
+        z.writestr("root/app/blob.py", b"\0\1")
+    archives = spark.createDataFrame([("zipped", base64.b64encode(body.getvalue()).decode())], "repo_id string, zip_b64 string")
+    return sources.unzip(archives).drop("content")
+
+
+@query()
+def mini_review(spark, sf_dir):
+    return review.review(snippets.files(spark))
+
+
+@query()
+def report_lines(spark, sf_dir):
+    found = catalog.line_findings(spark, sf_dir)
+    repos = table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id")).distinct()
+    return review.report_lines(found, repos)
+
+
+@query()
+def confirmations(spark, sf_dir):
+    replies = [('{"title": "one", "severity": "high", "line": 3}',), ('[{"title": "two"}, {"severity": "LOW"}]',), ("not json",), (None,)]
+    return review.confirmations(spark.createDataFrame(replies, "reply string"))
+
+
+@query()
+def text_retrieval(spark, sf_dir):
+    """The five best documents for a text query, by the hashing embedder; the limit is the feature."""
+    docs = source_files(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "file_path", F.col("language"), F.col("content").alias("page_content"))
+    store = retrieval.build_store(docs, embed=lambda c: retrieval.hash_embed(c, 64))
+    return retrieval.retrieve(spark, store, "license and warranty of the program", 5, embed=lambda c: retrieval.hash_embed(c, 64)).select("chunk_id", "file_path", F.round("relevance_score", 6).alias("score"), "rank")
