@@ -262,7 +262,7 @@ def _scorer(m: ClassModel) -> Callable:
                 blank, none = len(at), n
                 nulls = pa.nulls
                 summary = pa.RecordBatch.from_arrays(
-                    [pa.array(uid), batch.column(1).slice(i, n).cast(pa.int64()), batch.column(2).slice(i, n), pa.array(mix(uid.astype(U64) ^ U64(0x5DEECE66D)).view(np.int64)), pa.array(np.zeros(none, np.int32)), pa.array(np.zeros(none, np.int32)), pa.array(w.counts + 1), pa.array(known.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1] + moves)],
+                    [pa.array(uid), batch.column(1).slice(i, n).cast(pa.int64()), batch.column(2).slice(i, n), pa.array(mix(uid.astype(U64) ^ U64(0x5DEECE66D)).view(np.int64)), pa.array(np.zeros(none, np.int32)), pa.array(np.zeros(none, np.int32)), pa.array(w.counts + 1), pa.array(known.astype(np.int64)), pa.array(sums[0].astype(float)), pa.array((sums[1] + moves).astype(float))],
                     NAMES,
                 )
                 yield summary
