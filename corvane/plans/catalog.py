@@ -94,7 +94,11 @@ def severity_scorecard(spark, sf_dir):
 
 @query(f"""WITH {FINDINGS} SELECT coalesce(repo_id, '(all)') AS repo_id, coalesce(severity, '(all)') AS severity, count(*) AS n FROM findings GROUP BY ROLLUP (repo_id, severity)""")
 def finding_counts(spark, sf_dir):
-    return line_findings(spark, sf_dir).rollup("repo_id", "severity").agg(F.count("*").alias("n")).select(F.coalesce("repo_id", F.lit("(all)")).alias("repo_id"), F.coalesce("severity", F.lit("(all)")).alias("severity"), "n")
+    found = line_findings(spark, sf_dir).select("repo_id", "severity")
+    parts = found.rollup("repo_id", "severity").agg(F.count("*").alias("n"), F.grouping_id().alias("level")).filter("level < 3")
+    parts = parts.select("repo_id", F.coalesce("severity", F.lit("(all)")).alias("severity"), "n")
+    # the total of no findings is a row as well
+    return parts.union(found.agg(F.count("*").alias("n")).select(F.lit("(all)").alias("repo_id"), F.lit("(all)").alias("severity"), "n"))
 
 
 @query(f"""WITH {FINDINGS} SELECT regexp_extract(title, '^\\[([^\\]]+)\\]', 1) AS rule_id, repo_id, count(*) AS n, min(line_no) AS first_line FROM findings GROUP BY 1, 2""")
