@@ -188,8 +188,10 @@ def _open_links(checked: DataFrame, comps: DataFrame, texts: DataFrame, size: in
     t = percent / 100
     groups = _labelled(checked.select("p", "x", "nx", "common", "rest"), comps)
     head = _labelled(checked.groupBy("p").agg(F.first("np").alias("nx")).select("p", F.col("p").alias("x"), "nx"), comps)
-    # a group is open if a member that is not in the pivot's component could still link to another member
-    open_groups = groups.join(head.select("p", F.col("c").alias("pc")), "p").groupBy("p").agg(F.count_if(F.col("c") != F.col("pc")).alias("out"), F.count("*").alias("k")).filter("out > 0 and k > 1").select("p")
+    # a group is open if a member that is not in the pivot's component could still link to another member;
+    # the groups are summed up before they meet their pivots, so that a large one stays in many tasks
+    spread = groups.groupBy("p").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).filter("k > 1")
+    open_groups = spread.join(head.select("p", F.col("c").alias("pc")), "p").filter("low <> pc or high <> pc").select("p")
     open_groups = materialize(open_groups, "open")
     if open_groups.isEmpty():
         return None
