@@ -51,8 +51,17 @@ def _keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return w.hash, mix(short + U64(0x1234567))
 
 
+def _first(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Index of one occurrence of each key in each row."""
+    order = np.lexsort((keys, rows))
+    k, r = keys[order], rows[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    return order[new]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, y, c) of (label, text): occurrences of words and prefixes by label 0..3."""
+    """(h, y, c) of (label, text): texts with each word or prefix by label 0..3."""
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
         label = batch.column(0).to_numpy(zero_copy_only=False)
@@ -61,7 +70,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             y = label[i:j][w.doc]
             for side in range(4):
                 pick = y == side
-                u, c = np.unique(np.concatenate([k[pick] for k in _keys(w)]), return_counts=True)
+                # a word counts once per text, so that one text or its copies make no evidence by repetition
+                once = [k[pick][_first(k[pick], w.doc[pick])] for k in _keys(w)]
+                u, c = np.unique(np.concatenate(once), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), side, np.int32)), pa.array(c)], ["h", "y", "c"])
 
 
@@ -136,6 +147,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
     picked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     picked = picked.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    rows = rows.dropDuplicates(["text", "label"])
     # a quarter of the texts calibrates scores learnt from the others; the final scores are learnt from all
     aside = F.pmod(F.xxhash64("text"), F.lit(4)) == 0
     rows = rows.select((F.col("label") + F.when(aside, 2).otherwise(0)).cast("int").alias("label"), "text")
