@@ -493,4 +493,4 @@ def progress_changes(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ queries without a SQL form
-from . import code_queries  # noqa: E402, F401
+from . import code_queries, record_queries  # noqa: E402, F401

@@ -214,3 +214,18 @@ def test_regexes_are_safe_on_long_lines(spark):
     line = "a" * 100_000 + "#" + "'" * 3
     assert column(spark, [line], text.strip_comment) == ["a" * 100_000]
     assert re.search("possess|\\+\\+", text.UNCOMMENTED)
+
+
+def test_records(spark, tmp_path):
+    from corvane.operators import records
+    from corvane.plans.review import safe_name, to_html
+
+    assert column(spark, [1, 10, 11, 26, None], records.cc_letter, "int") == ["A", "B", "C", "F", None]
+    assert column(spark, ["r = requests.get(u)", "d.get(k)", "client().x.get('/a')", "no call"], records.is_http_get) == [True, False, True, False]
+    rows = spark.createDataFrame([(1, 2, 0.5, "a title"), (3, 2, 0.5, "a title"), (1, 2, 1.5, "abc")], "s int, e int, c double, t string")
+    good, bad = records.split_valid(rows, records.violations(F.col("s"), F.col("e"), F.col("c"), F.col("t")))
+    assert good.count() == 1 and sorted(tuple(r.violations) for r in bad.collect()) == [("confidence", "title"), ("span",)]
+    records.write_json(good, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 1
+    assert column(spark, ["a b/c" + "x" * 60], safe_name) == [("a_b_c" + "x" * 60)[:40]]
+    assert "&lt;x&gt;" in to_html("<x>")
