@@ -65,7 +65,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
         label = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, j in spans(offsets, 16 << 20):
+        for i, j in spans(offsets, 2 << 20):
             w = words(data, offsets[i : j + 1], _LETTERS)
             y = label[i:j][w.doc]
             for side in range(4):
