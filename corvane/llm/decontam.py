@@ -1,12 +1,12 @@
 """Benchmark decontamination by SimHash windows.
 
-For each benchmark item, windows of the item's number of words slide over every text. A window is
-looked at if it shares a five-word shingle with the item at the window's place (all others have
-similarity 0 with it, so nothing is lost). Its 64-bit SimHash is looked up in a multi-index of the
-items of that size: a fingerprint is cut into blocks, and since a distance of at most RADIUS leaves
-some block with at most RADIUS // BLOCKS differing bits, probing each block's neighbourhood finds
-every item within the radius. Candidates are verified by exact weighted shingle similarity (sum of
-minima over sum of maxima of shingle counts).
+For each benchmark item, windows of the item's number of words slide over every text, to every start
+at which the window holds as many shingles of the item, in any order, as the similarity asked for
+needs at least (all others are below it, so nothing is lost). A window's 64-bit SimHash is looked up
+in a multi-index of the items of that size: a fingerprint is cut into blocks, and since a distance of
+at most RADIUS leaves some block with at most RADIUS // BLOCKS differing bits, probing each block's
+neighbourhood finds every item within the radius. Candidates are verified by exact weighted shingle
+similarity (sum of minima over sum of maxima of shingle counts).
 
 Benchmark items are the stated query set: they are processed in blocks of bounded bytes, each of
 which every worker holds, against all texts. Nothing is shuffled.
@@ -30,6 +30,8 @@ from .blocks import U64, mix, shingles, spans, text_buffers, words
 BLOCKS = 5
 RADIUS = 24
 ITEM_BYTES = 8 << 20
+#: Shingles of windows that are fingerprinted at once.
+GROUP = 1 << 16
 _WIDTHS = [13, 13, 13, 13, 12]
 
 
@@ -81,14 +83,13 @@ class Items:
     counts: list[Counter]
     keys: np.ndarray  # sorted shingle hashes, repeated
     item: np.ndarray
-    offset: np.ndarray  # word position in the item
     near: dict[int, tuple[MultiIndex, list[int]]]  # by words of an item
 
 
 def index_items(ids: list[int], texts: list[str | None], size: int = 5) -> Items:
     data, offsets = text_buffers(pa.array(texts, pa.string()))
     w = words(data, offsets)
-    h, row, pos = shingles(w, size, whole_if_short=False)
+    h, row, _ = shingles(w, size, whole_if_short=False)
     edge = np.searchsorted(row, np.arange(len(ids) + 1))
     counts = [Counter(h[a:b].tolist()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
     near = {}
@@ -97,7 +98,7 @@ def index_items(ids: list[int], texts: list[str | None], size: int = 5) -> Items
         prints = np.concatenate([simhash(h[edge[k] : edge[k + 1]], np.array([0, edge[k + 1] - edge[k]])) for k in own])
         near[n] = MultiIndex(prints), own
     order = np.argsort(h, kind="stable")
-    return Items(ids, w.counts, counts, h[order], row[order], pos[order], near)
+    return Items(ids, w.counts, counts, h[order], row[order], near)
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -116,13 +117,13 @@ def _finder(x: Items, size: int, least: float) -> Callable:
             data, offsets = text_buffers(batch.column(1))
             for i, j in spans(offsets):
                 w = words(data, offsets[i : j + 1])
-                h, row, pos = shingles(w, size, whole_if_short=False)
+                h, row, _ = shingles(w, size, whole_if_short=False)
                 hot = np.flatnonzero(seen[(h & U64((1 << 20) - 1)).astype(np.int64)])
                 low, high = np.searchsorted(x.keys, h[hot]), np.searchsorted(x.keys, h[hot], "right")
                 hot, low, high = hot[high > low], low[high > low], high[high > low]
                 if not len(hot):
                     continue
-                rows = _windows(x, w, h, row, pos, hot, low, high, size, least)
+                rows = _windows(x, w, h, row, hot, low, high, size, least)
                 docs = batch.column(0).slice(i, j - i).to_pylist()
                 if rows:
                     cols = list(zip(*((docs[k], x.ids[item], *rest) for (k, item), rest in sorted(rows.items())), strict=True))
@@ -132,30 +133,62 @@ def _finder(x: Items, size: int, least: float) -> Callable:
     return find
 
 
-def _windows(x: Items, w, h, row, pos, hot, low, high, size: int, least: float) -> dict[tuple[int, int], tuple]:
-    """Best verified window of each (row, item): similarity, distance, start, words, number of windows."""
+def _starts(x: Items, w, h, row, hot, low, high, size: int, least: float) -> np.ndarray:
+    """Sorted (row, words of the item, index of a shingle): all windows with enough shingles of some item of that size.
+
+    A similarity of least needs least / (1 + least) of the shingles of window and item together to be shared.
+    """
     many = high - low
-    anchor = np.repeat(hot, many)
     entry = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    item = x.item[entry]
-    width = np.minimum(x.sizes[item], w.counts[row[anchor]])
-    start = np.clip(pos[anchor] - x.offset[entry], 0, w.counts[row[anchor]] - width)
-    places = np.unique(np.stack([row[anchor], x.sizes[item], start], 1), axis=0)
-    first = np.searchsorted(row, np.arange(len(w.counts)))  # a row's first shingle
+    hit = np.unique(x.item[entry] * len(h) + np.repeat(hot, many))  # once for each item and place
+    item, at = hit // len(h), hit % len(h)
+    r = row[at]
+    width = np.minimum(x.sizes[item], w.counts[r])
+    held = width - size + 1
+    need = np.maximum(np.ceil(least * (held + x.sizes[item] - size + 1) / (1 + least) - 1e-9), 1).astype(np.int64)
+    # the need-th hit from each one on, of the same item in the same row
+    last = np.arange(len(hit)) + need - 1
+    ok = last < len(hit)
+    last = np.where(ok, last, 0)
+    ok &= (item[last] == item) & (r[last] == r)
+    first = np.searchsorted(row, np.arange(len(w.counts)))[r]  # a row's first shingle
+    start = np.maximum(at[last] - held + 1, first)
+    stop = np.minimum(at, first + w.counts[r] - width)
+    item, r, start, stop = item[ok], r[ok], start[ok], stop[ok]
+    # starts and stops ascend within a row and item: what the one before covers is left to it
+    again = (item[1:] == item[:-1]) & (r[1:] == r[:-1])
+    start[1:] = np.where(again, np.maximum(start[1:], stop[:-1] + 1), start[1:])
+    many = np.maximum(stop - start + 1, 0)
+    at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    return np.unique(np.stack([np.repeat(r, many), np.repeat(x.sizes[item], many), at], 1), axis=0)
+
+
+def _windows(x: Items, w, h, row, hot, low, high, size: int, least: float) -> dict[tuple[int, int], tuple]:
+    """Best verified window of each (row, item): similarity, distance, start, words, number of windows."""
+    places = _starts(x, w, h, row, hot, low, high, size, least)
+    first = np.searchsorted(row, np.arange(len(w.counts)))
+    words_of = np.minimum(places[:, 1], w.counts[places[:, 0]])
+    held = words_of - size + 1
     best: dict[tuple[int, int], tuple] = {}
-    for r, n, s in places.tolist():
-        a = first[r] + s
-        b = first[r] + min(s + n, w.counts[r]) - size + 1
-        part = h[a:b]
-        mark = int(simhash(part, np.array([0, len(part)]))[0])
-        index, own = x.near[n]
-        counts = Counter(part.tolist())
-        for k, distance in index.within(mark):
-            score = similarity(counts, x.counts[own[k]])
-            if score >= least - 1e-12:
-                key, old = (r, own[k]), best.get((r, own[k]), (-1.0, 0, 0, 0, 0))
-                new = (score, distance, s, int(min(n, w.counts[r])), 0)
-                best[key] = (*(max(old, new, key=lambda v: (v[0], -v[2])))[:4], old[4] + 1)
+    near: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    i, ends = 0, np.cumsum(held)
+    while i < len(places):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + GROUP, "right")))
+        edge = np.concatenate([[0], np.cumsum(held[i:j])])
+        parts = h[np.repeat(places[i:j, 2] - edge[:-1], held[i:j]) + np.arange(edge[-1])]
+        for k, mark in enumerate(simhash(parts, edge).tolist(), i):
+            r, n, at = places[k].tolist()
+            index, own = x.near[n]
+            if (n, mark) not in near:
+                near[n, mark] = index.within(mark)
+            counts = Counter(parts[edge[k - i] : edge[k - i + 1]].tolist()) if near[n, mark] else None
+            for item, distance in near[n, mark]:
+                score = similarity(counts, x.counts[own[item]])
+                if score >= least - 1e-12:
+                    key, old = (r, own[item]), best.get((r, own[item]), (-1.0, 0, 0, 0, 0))
+                    new = (score, distance, at - int(first[r]), int(words_of[k]), 0)
+                    best[key] = (*(max(old, new, key=lambda v: (v[0], -v[2])))[:4], old[4] + 1)
+        i = j
     return best
 
 

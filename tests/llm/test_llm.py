@@ -323,6 +323,18 @@ def test_contaminated_edited_blocks_and_odd(spark, odd, none):
     assert decontam.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_contaminated_finds_rotated_passages(spark):
+    item = [f"w{k}" for k in range(60)]
+    around = [f"x{k}" for k in range(80)]
+    swapped, rotated = item[30:] + item[:30], item[20:40] + item[40:] + item[:20]
+    texts = [around[:40] + swapped + around[40:], around[:10] + swapped + around[40:50], around[:7] + rotated, swapped, around + item[:45]]
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.start_word, round(r.similarity, 9)) for r in decontam.contaminated(frame, bench).collect()}
+    best = round(52 / 60, 9)
+    assert got == {0: (40, best), 1: (10, best), 2: (7, best), 3: (0, best)}
+
+
 # ---------------------------------------------------------------- 5: urls
 def test_urls(spark):
     rows = urlfilter.HOST_RULES + urlfilter.PATTERN_RULES
