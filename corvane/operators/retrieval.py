@@ -17,7 +17,7 @@ from pyspark.sql.functions import arrow_udf
 from corvane.errors import RetrievalError, StoreError
 
 OVERFETCH = 5
-#: Query sets up to this number of rows are broadcast; larger ones are taken in blocks by the caller.
+#: Query sets up to this number of rows are broadcast whole; larger ones are dealt into blocks that are each broadcast.
 MAX_QUERIES = 4096
 DIMENSION = 384
 
@@ -51,24 +51,32 @@ def hash_embed(text: Column, dimension: int = DIMENSION) -> Column:
     return embed(text)
 
 
-def _bounded(queries: DataFrame) -> DataFrame:
-    """The queries, marked for broadcast after their number was checked."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise RetrievalError(f"more than {MAX_QUERIES} queries: pass them in blocks")
-    return F.broadcast(queries)
+def _in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """answer(block) of every block of queries, each marked for broadcast.
+
+    Rows of one query_id share a block, so that a ranking by query_id within answer is whole.
+    """
+    n = queries.count()
+    blocks = 1 if n <= MAX_QUERIES else -(-2 * n // MAX_QUERIES)  # half full on average, as a hash deals unevenly
+    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [queries] if blocks == 1 else [queries.filter(own == b) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, (answer(F.broadcast(part)) for part in parts))
 
 
 def knn(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id", vector: str = "embedding", skip_self: bool = False) -> DataFrame:
     """(query_id, id_col, distance, rank): the k nearest rows of every query by L2, ties by id.
 
-    A stated, checked set of queries against all rows: each task scores its rows and keeps k per
-    query before anything is shuffled (the rank filter becomes a partial top-k).
+    Blocks of queries against all rows: each task scores its rows and keeps k per query before
+    anything is shuffled (the rank filter becomes a partial top-k).
     """
-    q = _bounded(queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q")))
-    pairs = store.select(id_col, vector).join(q, F.col(id_col) != F.col("query_id") if skip_self else F.size(vector) == F.size("_q"))
-    scored = pairs.select("query_id", id_col, F.sqrt(squared_distance(F.col(vector), F.col("_q"))).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    def answer(q: DataFrame) -> DataFrame:
+        pairs = store.select(id_col, vector).join(q, F.col(id_col) != F.col("query_id") if skip_self else F.size(vector) == F.size("_q"))
+        scored = pairs.select("query_id", id_col, F.sqrt(squared_distance(F.col(vector), F.col("_q"))).alias("distance"))
+        w = Window.partitionBy("query_id").orderBy("distance", id_col)
+        return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    return _in_blocks(queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q")), answer)
 
 
 def matches(filters: Mapping[str, Any] | None) -> Column:
@@ -91,16 +99,19 @@ def search(store: DataFrame, queries: DataFrame, k: int = 5, filters: Mapping[st
     where = where() if callable(where) else where
     test = matches(filters) & (where if where is not None else F.lit(True))
     filtered = bool(filters) or where is not None or threshold is not None
-    q = _bounded(queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q")))
     base = store.filter(test) if prefilter else store
-    scored = base.join(q, F.size(vector) == F.size("_q")).withColumn("relevance_score", relevance(F.col(vector), F.col("_q"))).drop("_q", vector)
-    w = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), id_col)
-    top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= (k * OVERFETCH if filtered and not prefilter else k))
-    if filtered:
-        if threshold is not None:
-            top = top.filter(F.col("relevance_score") >= threshold)
-        top = top.filter(test).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top
+
+    def answer(q: DataFrame) -> DataFrame:
+        scored = base.join(q, F.size(vector) == F.size("_q")).withColumn("relevance_score", relevance(F.col(vector), F.col("_q"))).drop("_q", vector)
+        w = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), id_col)
+        top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= (k * OVERFETCH if filtered and not prefilter else k))
+        if filtered:
+            if threshold is not None:
+                top = top.filter(F.col("relevance_score") >= threshold)
+            top = top.filter(test).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return top
+
+    return _in_blocks(queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q")), answer)
 
 
 def one_per_group(results: DataFrame, group: str, id_col: str = "vec_id") -> DataFrame:

@@ -161,6 +161,22 @@ def test_retrieval(spark, tmp_path):
     assert retrieval.merge_filters({"a": 1, "language": "x"}, {"a": 2}, "py") == {"a": 2, "language": "py"}
 
 
+def test_retrieval_answers_every_query_beyond_one_block(spark, monkeypatch):
+    store = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)], i % 2) for i in range(30)], "vec_id long, embedding array<float>, label int")
+    calls = [
+        lambda: retrieval.knn(store, store, 2),
+        lambda: retrieval.knn(store, store, 2, skip_self=True),
+        lambda: retrieval.search(store, store, 3),
+        lambda: retrieval.search(store, store, 3, {"label": 1}, prefilter=True),
+        lambda: retrieval.search(store, store, 3, threshold=0.2),
+        lambda: retrieval.one_per_group(retrieval.search(store, store, 5), "label"),
+    ]
+    whole = [sorted(call().collect()) for call in calls]
+    assert len(whole[0]) == 60 and len(whole[2]) == 90
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 8)
+    assert [sorted(call().collect()) for call in calls] == whole
+
+
 def test_jobs(spark, tmp_path):
     store = jobs.JobStore()
     store.create("j", at=1)
