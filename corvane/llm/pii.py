@@ -1,14 +1,16 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 1. Base spans: email, ip, card and phone patterns with their exact checks. They always stay.
-2. High-recall generators propose overlapping candidate spans: runs of digits and separators,
-   anything around an @, and values assigned to a secret-like name.
+2. High-recall generators propose overlapping candidate spans: runs of digits and separators, and
+   in them whatever is shaped like a phone or card number or stands between spaces; anything around
+   an @, and the address in it; values assigned to a secret-like name.
 3. Boosted trees over yes/no features of a candidate's format and context give its probability.
    They are learnt on a bounded table of labelled examples that is generated by rule
    (EXAMPLES rows), as no labelled personal data exists; equal feature vectors are counted by
    Spark, so the driver sees only the distinct ones.
-4. Candidates above their kind's threshold, calibrated on examples set aside for at least
-   PRECISION, are added where they overlap no base span.
+4. Of the candidates above their kind's threshold, calibrated on examples set aside for at least
+   PRECISION, the most probable of those that overlap stay, and are added unless a base span holds
+   them whole.
 
 Everything on the way of a text is a projection: no shuffle, no collected documents.
 """
@@ -36,6 +38,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 # candidate patterns
 NUMBERS = r"(?<![0-9A-Za-z])[(+]?[0-9][0-9().+\x20-]{5,38}[0-9](?![0-9A-Za-z])"
+_TEN = r"[(]?[0-9]{3}[)]?[\x20.-]\x20?[0-9]{3}[\x20.-][0-9]{4}"
+TEN = rf"(?<![0-9A-Za-z]){_TEN}(?![0-9A-Za-z])"
+ABROAD = rf"\+[0-9]{{1,3}}[\x20.-]?(?:{_TEN}|[(]?[0-9]{{1,4}}[)]?[\x20.-]?[0-9]{{3,8}}(?:[.-][0-9]{{2,4}}){{0,3}})(?![0-9A-Za-z])"
+GROUPS = r"(?<![0-9A-Za-z])(?:[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![0-9A-Za-z])"
+PIECE = r"(?<![0-9A-Za-z])[0-9]++(?:[./-][0-9]++)*+(?![0-9A-Za-z])"
+ADDRESS = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)++"
 AROUND_AT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D@]++"
 SECRET = r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[\x20]?[=:][\x20]?[\"']?[A-Za-z0-9_+/=-]{8,}+"
 
@@ -87,6 +95,7 @@ def is_phone(t: Column) -> Column:
 # name -> test of a candidate c (kind, t, left, right); kind is number, mail or secret
 _SPOKEN = "(?i)(?:tel|phone|telephone|call|fax|mobile|cell|whatsapp|contact)[^A-Za-z0-9]*$"
 _COUNTED = "(?i)(?:order|invoice|no|nr|number|version|page|isbn|issn|id|total|item|ref|part|room|art)[^A-Za-z0-9]*$"
+_COUNTED_RUN = "(?i)(?:order|invoice|no|nr|number|version|page|isbn|issn|id|total|item|ref|part|room|art)[^A-Za-z]*$"
 
 
 def _features(c: Column) -> list[tuple[str, Column]]:
@@ -96,6 +105,7 @@ def _features(c: Column) -> list[tuple[str, Column]]:
         ("number", c["kind"] == "number"),
         ("mail", c["kind"] == "mail"),
         ("three-three-four", t.rlike(r"^[(]?[0-9]{3}[)]?[ .-][ ]?[0-9]{3}[ .-][0-9]{4}$")),
+        ("three-three-four-and-more", t.rlike(f"(?<![0-9]){_TEN}(?![0-9])") & ~t.rlike(f"^(?:[+][0-9]{{1,3}}[ .-]?)?{_TEN}$")),
         ("plus", t.startswith("+")),
         ("bracket", t.startswith("(")),
         ("digits7-8", d.between(7, 8)),
@@ -103,6 +113,7 @@ def _features(c: Column) -> list[tuple[str, Column]]:
         ("digits12-19", d.between(12, 19)),
         ("digits20", d >= 20),
         ("luhn", is_card(t)),
+        ("card-groups", t.rlike(f"^{GROUPS}$")),
         ("octets", is_ip(t)),
         ("separated", t.rlike("[0-9][ .-]+[0-9]")),
         ("date", t.rlike("^[0-9]{1,4}[-./][0-9]{1,2}[-./][0-9]{1,4}$")),
@@ -114,6 +125,7 @@ def _features(c: Column) -> list[tuple[str, Column]]:
         ("long-value", F.length(value) >= 12),
         ("spoken", c["left"].rlike(_SPOKEN)),
         ("counted", c["left"].rlike(_COUNTED)),
+        ("counted-run", c["left"].rlike(_COUNTED_RUN)),
         ("unit-left", c["left"].rlike("[$€£#§]\\s?$")),
         ("unit-right", c["right"].rlike("^[%°€$£]|^ [%€$£]")),
     ]
@@ -156,6 +168,15 @@ def examples(spark: SparkSession, rows: int = EXAMPLES) -> DataFrame:
         ("number", 0, draw(51, 6), pick(52, "$", "€ ", "#"), pick(53, "%", " ")),
         ("number", 0, F.concat(draw(54, 12), draw(55, 12)), word, F.lit(" ")),
         ("number", 0, F.concat(draw(56, 3), F.lit(" "), draw(57, 3), F.lit(" "), draw(58, 4)), named, F.lit(" ")),
+        # numbers side by side: each for itself, not the run
+        ("number", 1, F.concat(draw(64, 3), sep, draw(65, 3), sep, draw(66, 4)), F.concat(word, draw(67, 3), F.lit("-"), draw(68, 3), F.lit("-"), draw(69, 4), F.lit(" ")), F.lit(" ")),
+        ("number", 1, F.concat(draw(70, 3), sep, draw(71, 3), sep, draw(72, 4)), F.concat(told, draw(73, 4), F.lit("-"), draw(74, 2), F.lit("-"), draw(75, 2), F.lit(" ")), pick(76, " ", " 2", " (")),
+        ("number", 1, F.regexp_replace(check, "^(....)(....)(....)(....)$", "$1 $2 $3 $4"), word, pick(97, " ", " 2", " (")),
+        ("number", 0, F.regexp_replace(wrong, "^(....)(....)(....)(....)$", "$1 $2 $3 $4"), word, F.lit(" ")),
+        ("number", 0, F.concat(draw(77, 3), sep, draw(78, 3), sep, draw(79, 4), F.lit(" "), draw(80, 3), sep, draw(81, 3), sep, draw(82, 4)), told, F.lit(" ")),
+        ("number", 0, F.concat(F.lit("("), draw(83, 3), F.lit(") "), draw(84, 3), F.lit("-"), draw(85, 4), F.lit(" "), draw(86, 2)), told, F.lit(" ")),
+        ("number", 0, F.concat(draw(87, 4), F.lit("-"), draw(88, 2), F.lit("-"), draw(89, 2), F.lit(" "), draw(90, 3), sep, draw(91, 3), sep, draw(92, 4)), told, F.lit(" ")),
+        ("number", 0, F.concat(draw(93, 3), F.lit(" "), draw(94, 3), F.lit(" "), draw(95, 4)), F.concat(named, draw(96, 3), F.lit(" ")), F.lit(" ")),
         ("mail", 0, F.concat(F.lit("@"), hexa(59, 6)), word, F.lit(" ")),
         ("mail", 0, F.concat(F.lit("3@"), draw(60, 2)), word, F.lit(" ")),
         ("mail", 0, F.concat(F.lit("foo@"), hexa(61, 4)), word, F.lit(" ")),
@@ -287,9 +308,11 @@ def candidates(text: Column) -> Column:
         return F.transform(spans, more)
 
     when = lambda test, spans: F.when(test, spans).otherwise(_none(schema))
+    long = lambda pattern: F.filter(find_spans(text, pattern), lambda s: s["end"] - s["start"] >= 7)
+    numbers = F.concat(*map(long, (NUMBERS, TEN, GROUPS, PIECE)), F.when(F.contains(text, F.lit("+")), long(ABROAD)).otherwise(_none("array<struct<start:int,end:int,t:string>>")))
     return F.concat(
-        when(text.rlike("[0-9][^A-Za-z]{5}"), of(F.filter(find_spans(text, NUMBERS), lambda s: s["end"] - s["start"] >= 7), "number")),
-        when(F.contains(text, F.lit("@")), of(find_spans(text, AROUND_AT), "mail")),
+        when(text.rlike("[0-9][^A-Za-z]{5}"), of(F.array_distinct(numbers), "number")),
+        when(F.contains(text, F.lit("@")), of(F.array_distinct(F.concat(find_spans(text, AROUND_AT), find_spans(text, ADDRESS))), "mail")),
         when(text.rlike("(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ ]?[=:]"), of(find_spans(text, SECRET), "secret")),
     )
 
@@ -310,15 +333,27 @@ def detect_pii(docs: DataFrame, model: Trees, text_col: str = "text", out: str =
         kind = F.when(c["kind"] == "mail", 0).when(c["kind"] == "secret", 4).when(is_ip(c["t"]), 1).when(is_card(c["t"]), 2).otherwise(3)
         # closing marks of a sentence are not part of an address
         end = F.when(c["kind"] == "mail", c["end"] - F.length(F.regexp_extract(c["t"], "[.,;:!?]*$", 0))).otherwise(c["end"])
-        return F.struct(bits.alias("bits"), limit.alias("limit"), c["start"].alias("start"), kind.alias("k"), end.cast("int").alias("end"))
+        return F.struct(bits.alias("bits"), limit.alias("limit"), c["kind"].alias("kind"), c["start"].alias("start"), kind.alias("k"), end.cast("int").alias("end"))
+
+    def scored(c: Column) -> Column:
+        # the most probable first; of equals the tightest address, the longest number or secret
+        size = c["end"] - c["start"]
+        order = F.when(c["kind"] == "mail", size).otherwise(-size)
+        return F.struct((-model.column(c["bits"])).alias("low"), order.alias("order"), c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"), c["kind"].alias("kind"), c["limit"].alias("limit"))
+
+    def apart(chosen: Column, c: Column) -> Column:
+        meets = F.exists(chosen, lambda o: (o["kind"] == c["kind"]) & (o["start"] < c["end"]) & (c["start"] < o["end"]))
+        return F.when(meets, chosen).otherwise(F.array_append(chosen, F.struct(*(c[x].alias(x) for x in ("kind", "start", "k", "end")))))
 
     base = F.col(f"{out}_base")
     rated = F.transform(F.col(f"{out}_found"), judged)
-    kept = F.filter(F.col(f"{out}_rated"), lambda c: (model.column(c["bits"]) >= c["limit"]) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    added = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end")))
-    rows = rows.withColumn(f"{out}_rated", rated)
-    rows = rows.withColumn(f"{out}_spans", F.when(F.size(f"{out}_rated") > 0, F.array_sort(F.array_distinct(F.concat(base, added.cast(SPAN))))).otherwise(base))
-    return rows.drop(f"{out}_text", f"{out}_found", f"{out}_rated")
+    likely = F.array_sort(F.filter(F.transform(F.col(f"{out}_rated"), scored), lambda c: -c["low"] >= c["limit"]))
+    chosen = F.aggregate(F.col(f"{out}_likely"), F.array().cast("array<struct<kind:string,start:int,k:int,end:int>>"), apart)
+    beside = F.filter(chosen, lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
+    added = F.transform(beside, lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end")))
+    rows = rows.withColumn(f"{out}_rated", rated).withColumn(f"{out}_likely", likely)
+    rows = rows.withColumn(f"{out}_spans", F.when(F.size(f"{out}_likely") > 0, F.array_sort(F.array_distinct(F.concat(base, added.cast(SPAN))))).otherwise(base))
+    return rows.drop(f"{out}_text", f"{out}_found", f"{out}_rated", f"{out}_likely")
 
 
 def span_digest(spans: Column) -> Column:

@@ -238,6 +238,21 @@ def test_pii_added_spans_and_redaction(spark, odd, none):
     assert pii.detect_pii(clean, model).first().pii_spans == []
 
 
+def test_pii_adjacent_numbers_and_addresses_past_the_base(spark):
+    want = {
+        "call 212-555-0123 212-555-0199 now": ["212-555-0123", "212-555-0199"],
+        "call (212) 555-0123 24 hours": ["(212) 555-0123"],
+        "on 2024-01-02 212-555-0123 rang": ["212-555-0123"],
+        "the 4111 1111 1111 1111 24 hours": ["4111 1111 1111 1111"],
+        "at jürg.12@example.com, then": ["jürg.12@example.com", "rg.12@example.com"],
+        "see (x.y@z.org) or mailto:x.y@z.org.": ["x.y@z.org", "x.y@z.org"],
+        "ISBN 979 212 555 0123 and on 2024-01-02 2024-01-03 he": [],
+    }
+    frame = spark.createDataFrame([(t,) for t in want], "text string")
+    got = {r.text: [r.text[s.start : s.end] for s in r.pii_spans] for r in pii.detect_pii(frame, pii.fit_trees(spark)).collect()}
+    assert got == want
+
+
 # ---------------------------------------------------------------- 3: toxicity
 def test_segments_are_maximal():
     rng = random.Random(4)
