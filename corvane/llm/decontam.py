@@ -36,8 +36,20 @@ _WIDTHS = [13, 13, 13, 13, 12]
 
 
 def simhash(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of the shingle groups h[edge[i]:edge[i + 1]] (none empty), each occurrence counted."""
-    bits = np.unpackbits(mix(h ^ U64(0x5851F42D4C957F2D)).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+    """64-bit fingerprints of the shingle groups h[edge[i]:edge[i + 1]] (none empty).
+
+    A shingle's occurrences in a group are numbered and count as different ones, so that the distance
+    follows the weighted similarity.
+    """
+    group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    order = np.lexsort((h, group))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (group[order][1:] != group[order][:-1])
+    place = np.arange(len(h))
+    number = np.empty(len(h), np.int64)
+    number[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    own = (h ^ U64(0x5851F42D4C957F2D)) + number.astype(U64) * U64(0x9E3779B97F4A7C15)
+    bits = np.unpackbits(mix(own).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
     total = np.add.reduceat(bits, edge[:-1], axis=0)
     return np.packbits(total > 0, axis=1).reshape(-1).view(U64)
 

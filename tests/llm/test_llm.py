@@ -350,6 +350,17 @@ def test_contaminated_finds_rotated_passages(spark):
     assert got == {0: (40, best), 1: (10, best), 2: (7, best), 3: (0, best)}
 
 
+def test_simhash_distance_of_repeated_shingles_is_within_radius():
+    rng = np.random.default_rng(7)
+    far = 0
+    for _ in range(2000):
+        common, own = rng.integers(0, 2**63, 50).astype(np.uint64), rng.integers(0, 2**63, 7).astype(np.uint64)
+        window, item = np.concatenate([common, np.repeat(own[:1], 6)]), np.concatenate([common, own[1:]])
+        a, b = decontam.simhash(np.concatenate([window, item]), np.array([0, 56, 112])).tolist()
+        far += (a ^ b).bit_count() > decontam.RADIUS
+    assert far == 0
+
+
 # ---------------------------------------------------------------- 5: urls
 def test_urls(spark):
     rows = urlfilter.HOST_RULES + urlfilter.PATTERN_RULES
