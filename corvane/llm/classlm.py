@@ -3,14 +3,16 @@
 P(text) = product over tokens of P(class | previous class) * P(token | class); a text ends with an
 end token, whose class is also the context of the first word.
 
-* The `core` most frequent words are assigned to `classes` by exchange clustering on their bigram
-  counts (a core x core matrix, bounded by the parameter). All other words belong to a class
-  that follows from their shape (length and last character), so every word has a class.
-* Transitions are smoothed towards class frequencies; within a shape class, words never seen in
-  training share the Good-Turing mass of the words seen once, as one event.
-* Counts of all words of all training texts are gathered by a shuffle. Scoring keeps the counts of
-  the `head` most frequent words in each worker (bounded by the parameter: 16 bytes each); all
-  other words are joined to the full count table, so nothing is cut off.
+* Counts of all words of all training texts are gathered by a shuffle. The words counted most, as
+  many as `head` allows (all words of a count or none), are clustered: the `core` most frequent of
+  them by exchange on their bigram counts (a core x core matrix) until sweeps gain nothing more, every further
+  one by one exchange step: it joins the class that raises the clustering's likelihood most, judged
+  by its distributed counts of left and right classes.
+* All other words, and words never seen, belong to a class that follows from their shape (length and
+  last character); in it, words never seen are one event with the mass of the words seen once.
+* Transitions are smoothed towards class frequencies.
+* Scoring keeps the clustered words in each worker (26 bytes each); all other words are joined to
+  the full count table, so nothing is cut off.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SHAPES = 16
 END = np.int64(-0x61C8864680B583EB)
 FLUSH = 1 << 20
 PRIOR = 8.0
+#: Exchange ends with a sweep that gains less than this share of the clustering's mutual information.
+LEAST_GAIN = 1e-4
 
 
 def _shapes(w: Words) -> np.ndarray:
@@ -70,12 +74,19 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _core_ids(w: Words, core: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-    """Symbol of each word: index in the sorted core hashes, or len(core) + shape."""
-    if not len(core):
-        return shapes.astype(np.int64)
-    spot = np.minimum(np.searchsorted(core, h := w.hash.view(np.int64)), len(core) - 1)
-    return np.where(core[spot] == h, spot, len(core) + shapes.astype(np.int64))
+def _find(sorted_keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each hash in the sorted keys, or -1."""
+    if not len(sorted_keys):
+        return np.full(len(h), -1, np.int64)
+    spot = np.minimum(np.searchsorted(sorted_keys, h), len(sorted_keys) - 1)
+    return np.where(sorted_keys[spot] == h, spot, -1)
+
+
+def _classes(w: Words, head: np.ndarray, label: np.ndarray, used: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in head or -1, class) of each word; a word without a label has the class of its shape."""
+    spot = _find(head, w.hash.view(np.int64))
+    own = np.where(spot >= 0, label[spot], -1) if len(head) else spot
+    return spot, np.where(own >= 0, own, used + _shapes(w).astype(np.int64))
 
 
 def _framed(w: Words, symbols: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,8 +102,9 @@ def _framed(w: Words, symbols: np.ndarray, end: int) -> tuple[np.ndarray, np.nda
     return previous, present, row
 
 
-def _bigrams(core: np.ndarray) -> Callable:
-    size = len(core) + SHAPES + 1
+def _bigrams(head: np.ndarray, label: np.ndarray, used: int) -> Callable:
+    """(pair, c): counts of previous * size + present over the labels of head, the shapes and the end."""
+    size = used + SHAPES + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size * size, np.int64)
@@ -100,7 +112,7 @@ def _bigrams(core: np.ndarray) -> Callable:
             data, offsets = text_buffers(batch.column(0))
             for i, j in spans(offsets):
                 w = words(data, offsets[i : j + 1])
-                a, b, _ = _framed(w, _core_ids(w, core, _shapes(w)), size - 1)
+                a, b, _ = _framed(w, _classes(w, head, label, used)[1], size - 1)
                 table += np.bincount(a * size + b, minlength=size * size)
         pair = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(table[pair])], ["pair", "c"])
@@ -108,11 +120,24 @@ def _bigrams(core: np.ndarray) -> Callable:
     return count
 
 
-def exchange_clusters(pairs: np.ndarray, core: int, classes: int, sweeps: int = 4) -> np.ndarray:
+def _table(texts: DataFrame, head: np.ndarray, label: np.ndarray, used: int) -> np.ndarray:
+    size = used + SHAPES + 1
+    found = texts.mapInArrow(_bigrams(head, label, used), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    pairs = np.zeros(size * size, np.int64)
+    pairs[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return pairs.reshape(size, size)
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def exchange_clusters(pairs: np.ndarray, core: int, classes: int) -> np.ndarray:
     """Class of each symbol: exchange clustering of the first `core` symbols of a square count table.
 
     Every further symbol keeps a class of its own. Each step moves one word to the class that raises
-    sum n(g, h) log n(g, h) - sum n(g) log n(g) (left and right) most; sweeps end when no word moves.
+    sum n(g, h) log n(g, h) - sum n(g) log n(g) (left and right) most; sweeps end when no word moves
+    or all moves of a sweep together raise that sum by less than LEAST_GAIN of it.
     """
     size = len(pairs)
     used = min(classes, max(core, 1))
@@ -122,12 +147,12 @@ def exchange_clusters(pairs: np.ndarray, core: int, classes: int, sweeps: int =
     hot[np.arange(size), label] = 1
     pairs = pairs.astype(np.float64)
     table = hot.T @ pairs @ hot
+    likelihood = lambda: float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum() + _xlogx(table.sum()))
+    least = 1e-12 * (1 + float(_xlogx(pairs.sum())))  # rounding errors are no gain
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1.0))
-
-    for _ in range(sweeps):
-        moved = 0
+    f, k, before = _xlogx, np.arange(used), -np.inf
+    while core and (now := likelihood()) > before + LEAST_GAIN * abs(now):
+        before = now
         right, left = pairs @ hot, (hot.T @ pairs).T
         for w in range(core):
             old = label[w]
@@ -139,89 +164,168 @@ def exchange_clusters(pairs: np.ndarray, core: int, classes: int, sweeps: int =
             o, i = out.copy(), into.copy()
             o[old] -= own
             i[old] -= own
-            rows, cols = table[:used], table[:, :used].T
-            k = np.arange(used)
-            gain = (f(rows + o) - f(rows)).sum(1) + (f(cols + i) - f(cols)).sum(1)
+            gain = _gains(table, used, np.flatnonzero(o), o[o != 0], np.flatnonzero(i), i[i != 0])
             diagonal = table[k, k]
             gain -= f(diagonal + o[k]) - f(diagonal) + f(diagonal + i[k]) - f(diagonal)
             gain += f(diagonal + o[k] + i[k] + own) - f(diagonal)
-            sums_r, sums_l = rows.sum(1), cols.sum(1)
+            sums_r, sums_l = table[:used].sum(1), table[:, :used].sum(0)
             gain -= f(sums_r + out.sum()) - f(sums_r) + f(sums_l + into.sum()) - f(sums_l)
             new = int(np.argmax(gain))
-            if gain[new] <= gain[old] + 1e-9:
+            if gain[new] <= gain[old] + least:
                 new = int(old)
             table[new] += o
             table[:, new] += i
             table[new, new] += own
             if new != old:
-                moved += 1
                 label[w] = new
                 hot[w, old], hot[w, new] = 0, 1
-                column = pairs[:, w]
+                column, line = pairs[:, w], pairs[w]
                 right[:, old] -= column
                 right[:, new] += column
-                line = pairs[w]
                 left[:, old] -= line
                 left[:, new] += line
-        if not moved:
-            break
     return label
 
 
+def _gains(table: np.ndarray, used: int, right: np.ndarray, o: np.ndarray, left: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """What each class gains in its pairs by a word with counts o to the classes `right` and i from the classes `left`."""
+    rows, cols = table[:used, right], table[left, :used].T
+    return (_xlogx(rows + o) - _xlogx(rows)).sum(1) + (_xlogx(cols + i) - _xlogx(cols)).sum(1)
+
+
+def _contexts(head: np.ndarray, label: np.ndarray, used: int) -> Callable:
+    """(w, side, g, c): how often class g follows (side 0) or precedes (side 1) each word of head without a label."""
+    size = used + SHAPES + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            word, rest = np.divmod(codes, 2 * size)
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (word, rest // size, rest % size)] + [pa.array(counts)], ["w", "side", "g", "c"])
+
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            fresh = [(codes, counts)]
+            for i, j in spans(offsets):
+                w = words(data, offsets[i : j + 1])
+                spot, own = _classes(w, head, label, used)
+                a, b, _ = _framed(w, own, size - 1)
+                at = np.arange(len(spot)) + w.doc  # the word's place among the tokens
+                open_ = np.flatnonzero((spot >= 0) & (own >= used))
+                key = spot[open_] * 2 * size
+                fresh.append(np.unique(np.concatenate([key + b[at[open_] + 1], key + size + a[at[open_]]]), return_counts=True))
+            every, many = (np.concatenate(x) for x in zip(*fresh, strict=True))
+            codes, back = np.unique(every, return_inverse=True)
+            counts = np.bincount(back, many, len(codes)).astype(np.int64)
+            if len(codes) > FLUSH:
+                yield out()
+                codes, counts = codes[:0], counts[:0]
+        yield out()
+
+    return count
+
+
+def _assigner(table: np.ndarray, used: int) -> Callable:
+    """(w, class) of rows (w, side, g, c) sorted by w: the class with the largest exchange gain, the first of equals."""
+    size = len(table)
+    rows, cols = table.sum(1)[:used], table.sum(0)[:used]
+
+    def judged(w: np.ndarray, side: np.ndarray, g: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        code, back = np.unique((w.astype(np.int64) * 2 + side) * size + g, return_inverse=True)
+        c = np.bincount(back, c, len(code))
+        w, rest = np.divmod(code, 2 * size)
+        side, g = np.divmod(rest, size)
+        new = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        best = np.zeros(len(new), np.int32)
+        total = [np.add.reduceat(np.where(side == s, c, 0), new)[:, None] for s in (0, 1)]
+        gain = -(_xlogx(rows + total[0]) - _xlogx(rows)) - (_xlogx(cols + total[1]) - _xlogx(cols))
+        for a in range(0, len(code), 1 << 14):
+            part = slice(a, a + (1 << 14))
+            base = np.where(side[part, None] == 0, table[:used].T[g[part]], table[g[part], :used])
+            np.add.at(gain, np.searchsorted(new, np.arange(len(code))[part], "right") - 1, _xlogx(base + c[part, None]) - _xlogx(base))
+        best[:] = gain.argmax(1)
+        return pa.RecordBatch.from_arrays([pa.array(w[new].astype(np.int32)), pa.array(best)], ["w", "k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            cols_ = [batch.column(k).to_numpy() for k in range(4)]
+            held = cols_ if held is None else [np.concatenate(x) for x in zip(held, cols_, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last word may go on
+            if cut:
+                yield judged(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held is not None and len(held[0]):
+            yield judged(*held)
+
+    return run
+
+
 @dataclass
 class ClassModel:
     tokens: int  # N
     types: int  # V
-    core: np.ndarray  # sorted hashes of the clustered words
-    label: np.ndarray  # class of each symbol: core words, shapes, end
+    head: np.ndarray  # sorted hashes of the clustered words
+    head_counts: np.ndarray
+    label: np.ndarray  # their classes
+    emission: np.ndarray  # log10 P(word | class)
+    used: int  # classes of clustered words; SHAPES shape classes and the end's follow
     transition: np.ndarray  # log10, classes x classes
-    core_emission: np.ndarray  # log10, one per core word
     shape_tokens: np.ndarray  # training tokens of each shape class
     shape_unseen: np.ndarray  # probability of a word never seen, per shape class
-    head: np.ndarray  # sorted hashes
-    head_counts: np.ndarray
+
+
+def _cut(counts: DataFrame, head: int) -> int:
+    """The smallest count from which on at most `head` words are left; words seen once are below it."""
+    many = counts.filter(F.col("h") != int(END)).groupBy("c").agg(F.count("*").alias("n")).toPandas().sort_values("c", ascending=False)
+    fit = many[(many.n.cumsum() <= head) & (many.c > 1)]
+    return int(fit.c.min()) if len(fit) else int(many.c.max()) + 1 if len(many) else 1
 
 
 def fit(texts: DataFrame, counts: DataFrame, core: int, classes: int, head: int) -> ClassModel:
     """texts: one column of training texts; counts: (h, c, s) of all their tokens."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.filter(F.col("h") != int(END)).orderBy(F.desc("c"), "h").limit(head).select("h", "c").toPandas()
-    core_hashes = np.sort(top.h.to_numpy(np.int64)[:core])
-    order = np.argsort(top.h.to_numpy(np.int64))
-    head_hashes, head_counts = top.h.to_numpy(np.int64)[order], top.c.to_numpy(np.int64)[order]
-    size = len(core_hashes) + SHAPES + 1
-    pairs = np.zeros(size * size, np.int64)
-    found = texts.mapInArrow(_bigrams(core_hashes), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
-    pairs[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    pairs = pairs.reshape(size, size)
-    label = exchange_clusters(pairs, len(core_hashes), classes)
-    groups = int(label.max()) + 1
-    hot = np.zeros((size, groups))
-    hot[np.arange(size), label] = 1
+    cut = _cut(counts, head)
+    top = counts.filter((F.col("h") != int(END)) & (F.col("c") >= cut)).select("h", "c").toArrow()
+    h, c = top.column(0).to_numpy(), top.column(1).to_numpy()
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    # the core, clustered by exchange
+    first = np.sort(np.lexsort((h, -c))[:core])
+    seeds = len(first)
+    symbol = np.full(len(h), -1, np.int64)
+    symbol[first] = np.arange(seeds)
+    pairs = _table(texts, h, symbol, seeds)
+    found = exchange_clusters(pairs, seeds, classes)
+    used = min(classes, max(seeds, 1))
+    hot = np.zeros((len(pairs), used + SHAPES + 1))
+    hot[np.arange(len(pairs)), found] = 1
     table = hot.T @ pairs @ hot
+    label = np.full(len(h), -1, np.int64)
+    label[first] = found[:seeds]
+    # every further word of the head, by one exchange step
+    if len(h) > seeds:
+        contexts = texts.mapInArrow(_contexts(h, label, used), "w int, side int, g int, c long")
+        chosen = contexts.repartition("w").sortWithinPartitions("w").mapInArrow(_assigner(table, used), "w int, k int").toArrow()
+        label[chosen.column(0).to_numpy()] = chosen.column(1).to_numpy()
+        table = _table(texts, h, label, used).astype(float)
+    groups = len(table)
     share = (table.sum(0) + 1) / (table.sum() + groups)
     transition = np.log10((table + PRIOR * share) / (table.sum(1, keepdims=True) + PRIOR))
-    mine = head_counts[np.searchsorted(head_hashes, core_hashes)] if len(core_hashes) else np.zeros(0, np.int64)
-    of_class = np.bincount(label[: len(core_hashes)], mine, groups)
-    # shape classes hold the words outside the core
-    rest = counts.filter(f"s < {SHAPES}").groupBy("s").agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("once"), F.count("*").alias("v")).toPandas()
+    emission = np.log10(c / np.bincount(label, c, groups)[label]) if len(h) else np.zeros(0)
+    # shape classes hold the words outside the head
+    rest = counts.filter((F.col("c") < cut) & (F.col("h") != int(END))).groupBy("s").agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("once")).toPandas()
     tokens, once = np.zeros(SHAPES), np.zeros(SHAPES)
     tokens[rest.s], once[rest.s] = rest.n, rest.once
-    if len(core_hashes):
-        core_shapes = {r.h: (r.s, r.c) for r in counts.filter(F.col("h").isin([int(x) for x in core_hashes])).collect()} if len(core_hashes) <= 4096 else {}
-        for s, c in core_shapes.values():
-            tokens[s] -= c
-            once[s] -= c == 1
-    unseen = (once + 0.5) / (tokens + 1)
-    return ClassModel(int(total.n), int(total.v), core_hashes, label, transition, np.log10(mine / of_class[label[: len(mine)]]), tokens, unseen, head_hashes, head_counts)
+    unseen = (once + 0.5) / (tokens + once + 1)
+    return ClassModel(int(total.n), int(total.v), h, c, label, emission, used, transition, tokens, unseen)
 
 
 def _scorer(m: ClassModel) -> Callable:
-    end = len(m.core) + SHAPES
-    shape_label = m.label[len(m.core) :]
-    place = {int(h): i for i, h in enumerate(m.core)}
-    head_core = np.array([place.get(int(h), -1) for h in m.head], np.int64)
+    end = m.used + SHAPES
     floor = np.log10(m.tokens + m.types + 1)
+    base = np.log10(m.head_counts + 1.0) - floor
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,29 +333,16 @@ def _scorer(m: ClassModel) -> Callable:
             for i, j in spans(offsets):
                 n = j - i
                 w = words(data, offsets[i : j + 1])
-                shape = _shapes(w).astype(np.int64)
                 h = w.hash.view(np.int64)
-                if len(m.head):
-                    spot = np.minimum(np.searchsorted(m.head, h), len(m.head) - 1)
-                    hit = m.head[spot] == h
-                else:
-                    spot, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-                symbol = len(m.core) + shape
-                if len(m.head):
-                    inner = np.where(hit, head_core[spot], -1)
-                    symbol = np.where(inner >= 0, inner, symbol)
-                    c = np.where(hit, m.head_counts[spot], 0)
-                    emitted = np.where(inner >= 0, m.core_emission[np.maximum(inner, 0)] if len(m.core) else 0.0, np.log10(np.maximum(c, 1) * (1 - m.shape_unseen[shape]) / np.maximum(m.shape_tokens[shape], 1)))
-                    base = np.log10(c + 1.0) - floor
-                    known = np.bincount(w.doc[hit], minlength=n)
-                    sums = np.bincount(w.doc[hit], base[hit], n), np.bincount(w.doc[hit], emitted[hit], n)
-                else:
-                    known, sums = np.zeros(n, np.int64), (np.zeros(n), np.zeros(n))
-                a, b, row = _framed(w, symbol, end)
-                moves = np.bincount(row, m.transition[m.label[a], m.label[b]], n)
-                # tail words: one row per (text, word)
+                spot, own = _classes(w, m.head, m.label, m.used)
+                hit = spot >= 0
+                known = np.bincount(w.doc[hit], minlength=n)
+                sums = [np.bincount(w.doc[hit], x[spot[hit]], n) for x in (base, m.emission)]
+                a, b, row = _framed(w, own, end)
+                moves = np.bincount(row, m.transition[a, b], n)
+                # other words: one row per (text, word)
                 tail = ~hit
-                th, td, ts = h[tail], w.doc[tail], shape[tail]
+                th, td, ts = h[tail], w.doc[tail], own[tail] - m.used
                 order = np.lexsort((th, td))
                 th, td, ts = th[order], td[order], ts[order]
                 new = np.ones(len(th), bool)
@@ -259,10 +350,10 @@ def _scorer(m: ClassModel) -> Callable:
                 at = np.flatnonzero(new)
                 many = np.diff(np.append(at, len(th)))
                 uid = batch.column(0).slice(i, n).to_numpy(zero_copy_only=False)
-                blank, none = len(at), n
+                blank = len(at)
                 nulls = pa.nulls
                 summary = pa.RecordBatch.from_arrays(
-                    [pa.array(uid), batch.column(1).slice(i, n).cast(pa.int64()), batch.column(2).slice(i, n), pa.array(mix(uid.astype(U64) ^ U64(0x5DEECE66D)).view(np.int64)), pa.array(np.zeros(none, np.int32)), pa.array(np.zeros(none, np.int32)), pa.array(w.counts + 1), pa.array(known.astype(np.int64)), pa.array(sums[0].astype(float)), pa.array((sums[1] + moves).astype(float))],
+                    [pa.array(uid), batch.column(1).slice(i, n).cast(pa.int64()), batch.column(2).slice(i, n), pa.array(mix(uid.astype(U64) ^ U64(0x5DEECE66D)).view(np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(w.counts + 1), pa.array(known.astype(np.int64)), pa.array(sums[0].astype(float)), pa.array((sums[1] + moves).astype(float))],
                     NAMES,
                 )
                 yield summary
@@ -284,7 +375,8 @@ def class_ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Learns from the rows where held_out is not true; scores all rows, repeated ones one by one.
     Null texts count as empty and hold just the end token; a null id counts as an empty string.
     Without training rows every token is unknown and base_score is 0. Only id_col and text_col are
-    read besides the columns of held_out.
+    read besides the columns of held_out. core: words clustered on the driver; head: words that may
+    be clustered at all and that each worker holds.
     """
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text_col).alias("text"))
