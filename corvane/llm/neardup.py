@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .blocks import U64, distinct, mix, shingles, spans, text_buffers, words
 from .components import connected_components
-from .scratch import materialize
+from .scratch import materialize, row_keys
 
 BANDS = 32
 ROWS = 4
@@ -106,7 +106,7 @@ def _signer(size: int, bands: int, rows: int) -> Callable:
 
 
 def _verifier(size: int, percent: int) -> Callable:
-    """Exact overlap of the sets of two texts per row; `rest`: hashes of x outside p if they are not linked or keep is set."""
+    """Exact overlap of the sets of two texts per row; `rest`: hashes of x outside p, which the bound above needs of linked members as well."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,15 +152,36 @@ def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): documents linked at Jaccard >= percent/100 form components.
 
-    Null texts count as empty; empty texts have no shingles and link with nothing; a text of fewer
-    words than a shingle is one shingle. Rows with a null id are left out; a repeated id is one
-    document with the text of its smallest set. Only id_col and text_col are read, so extra columns
-    cannot clash. A pair at exactly 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8.
+    Every row of docs gives a row. Null texts count as empty; empty texts have no shingles and link
+    with nothing; a text of fewer words than a shingle is one shingle. component_id is the smallest
+    id in the component, and kept marks the row that holds it. Where ids repeat or are null, rows are
+    documents of their own: just one row of a component is kept, of several with the smallest id any
+    one, and a component without ids has a null component_id. Only id_col and text_col are read, so
+    extra columns cannot clash. A pair at exactly 0.8 shares no band with probability
+    (1 - 0.8**4)**32 < 5e-8.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    rows, key = row_keys(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id")
+    out = row_groups(rows, key, "id", "text", shingle_words, percent, bands, rows_per_band)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def row_groups(rows: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
+    """near_duplicates of rows with a key from row_keys, which the result keeps as `key`."""
+    found = _components(rows.select(F.col(key).alias("id"), F.col(text_col).alias("text")), shingle_words, percent, bands, rows_per_band)
+    if key == id_col:
+        return found.select(F.col("id").alias("key"), "id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    named = materialize(found.withColumnRenamed("id", "key").join(rows.select(F.col(key).alias("key"), F.col(id_col).alias("id")), "key"), "grouped")
+    # the smallest id first, null last
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
+    joined = named.join(least, "component")
+    return joined.select("key", "id", F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), (F.col("key") == F.col("least.key")).alias("kept"))
+
+
+def _components(texts: DataFrame, shingle_words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(id, n, component) of texts (id, text) with unique ids: set size and smallest id of the component."""
     signed = materialize(texts.mapInArrow(_signer(shingle_words, bands, rows), "id long, n long, set_a long, set_b long, bands array<long>"), "signed")
     full = signed.filter("n > 0")
     classes = materialize(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
@@ -179,8 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     of_class = classes.select("set_a", "set_b", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     out = full.select("id", "n", "set_a", "set_b").join(of_class, ["set_a", "set_b"]).select("id", "n", "component")
-    out = out.union(signed.filter("n = 0").select("id", "n", F.col("id").alias("component")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return out.union(signed.filter("n = 0").select("id", "n", F.col("id").alias("component")))
 
 
 def _open_links(checked: DataFrame, comps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:

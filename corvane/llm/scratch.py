@@ -1,19 +1,24 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and keys of rows."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.errors import CorvaneError
 
 _PATHS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where the session names none, as in tests."""
+    """The folder of spark.checkpoint.dir. Only a local session that names none, as in tests, gets one under /tmp; elsewhere that is an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise CorvaneError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"/tmp/corvane-checkpoints-{sc.applicationId}"
         sc.setCheckpointDir(base)
         base = sc._jsc.sc().getCheckpointDir().get()
@@ -34,9 +39,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def purge(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far. Only for callers that have written their results."""
+def row_keys(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """(rows, key column): docs and id_col where its ids are unique and not null, which reads that column alone.
+
+    Otherwise docs written to the shared folder with a number for each row, in the column _row.
+    """
+    odd = docs.select(F.col(id_col).alias("id")).groupBy("id").agg(F.count("*").alias("k")).filter("k > 1 or id is null")
+    if odd.isEmpty():
+        return docs, id_col
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), "_row"
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table out of literals, without Python on the executors; schema: name type, name type."""
+    fields = [c.split() for c in schema.split(", ")]
+    if not rows:
+        return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in fields))
+    value = lambda v, kind: (F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).cast(kind)
+    made = F.array(*(F.struct(*(value(v, kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True))) for row in rows))
+    return spark.range(1).select(F.inline(made))
+
+
+def made() -> int:
+    """How many scratch tables there are; a starting point for purge."""
+    return len(_PATHS)
+
+
+def purge(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the scratch tables made since, but `keep`. Only for callers that have written what they read from them."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _PATHS:
-        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+    gone = [p for p in _PATHS[since:] if p not in keep]
+    _PATHS[since:] = [p for p in _PATHS[since:] if p in keep]
+    for path in gone:
+        path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(conf).delete(path, True)
