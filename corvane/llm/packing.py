@@ -1,8 +1,9 @@
 """Best-two-fit packing of tokenised documents into fixed-size sequences.
 
-Token ids come from a byte-level BPE vocabulary. The text is cut into the vocabulary's
-pre-tokens with numpy over code points; each worker encodes every pre-token it meets once and
-keeps its ids, so repeated words cost a lookup.
+Token ids come from a byte-level BPE vocabulary. The text is cut at the file's added tokens, which
+have ids of their own, and between them into the vocabulary's pre-tokens with numpy over code
+points; each worker encodes every pre-token it meets once and keeps its ids, so repeated words cost
+a lookup.
 
 Packing is global yet needs no global sort: pieces of one length are interchangeable, so the
 driver packs the histogram of lengths (at most `capacity` numbers) by best-two-fit and gets a
@@ -12,6 +13,7 @@ pieces of their length, which two-level counting gives without gathering a lengt
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 import zlib
@@ -95,7 +97,14 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         stands = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         with open(vocabulary, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model = whole["model"]
+        # strings that stand for one id wherever they occur in a text
+        self.added = {t["content"].encode(): t["id"] for t in whole.get("added_tokens") or []}
+        if any(t[flag] for t in whole.get("added_tokens") or [] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens with a flag are not supported")
+        # at one place the longest wins
+        self.special = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         # ids follow the order of the merges, so they serve as ranks; whatever is no byte string is a special token
         ranks = {bytes(stands[c] for c in token): k for token, k in model["vocab"].items() if k < 256 + len(model["merges"])}
         self.bpe = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -121,6 +130,29 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, ids per row)."""
+        found = [(m.start(), m.end(), self.added[m.group()]) for m in self.special.finditer(data[offsets[0] : offsets[-1]])] if self.special else []
+        row = np.searchsorted(offsets, [offsets[0] + a for a, _, _ in found], "right")
+        # a match across two rows is none; such a match could hide a true one, so rows are searched one by one where there is any
+        if any(offsets[0] + b > offsets[r] for (_, b, _), r in zip(found, row, strict=True)):
+            found = [(a + m.start(), a + m.end(), self.added[m.group()]) for a, b in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], strict=True) for m in self.special.finditer(data[offsets[0] + a : offsets[0] + b])]
+        if not found:
+            return self._plain(data, offsets)
+        # the added tokens and what lies between them as rows of their own
+        cuts = np.array([[a, b] for a, b, _ in found]) + offsets[0]
+        edges = np.sort(np.concatenate([offsets, cuts.ravel()]))  # a row's edge may be a cut as well
+        ids, sizes = self._plain(data, edges)
+        first = np.searchsorted(edges, cuts[:, 0], "right") - 1  # the piece that starts there and is not empty
+        start = np.concatenate([[0], np.cumsum(sizes)])
+        keep = np.ones(len(ids), bool)
+        for k, (_, _, one) in zip(first.tolist(), found, strict=True):
+            ids[start[k]] = one
+            keep[start[k] + 1 : start[k + 1]] = False
+            sizes[k] = 1
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return ids[keep], np.diff(total[np.searchsorted(edges, offsets)])
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode of rows without added tokens."""
         body, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
         raw = body.tobytes()
         try:
@@ -266,7 +298,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """Per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset (and ids if asked for).
 
     vocabulary: path, on every node, of a tokenizer JSON file with a byte-level BPE model whose ids
-    follow its merges; special tokens in texts are ordinary text. Every document ends with end_id.
+    follow its merges; its added tokens, where a text holds them, count as such. Every document ends with end_id.
     Documents over `capacity` are cut into pieces of that size, of which the first may be shorter.
     Null texts count as empty (one piece, the end id). Rows with a null id get pieces with a null id;
     repeated rows are packed one by one. No rows give no pieces. Other columns are not read.
