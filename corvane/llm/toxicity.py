@@ -9,7 +9,7 @@ segments. Minus log of the expected number, summed over significant segments, is
 by a logistic fit.
 
 Words are runs of letters, digits and bytes over 127, A-Z lower-cased; a word that was too rare to
-learn takes the score of its first five bytes.
+learn scores nothing but the drift. Every word that the labelled sample tells about has a score.
 """
 
 from __future__ import annotations
@@ -22,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import _CODES, U64, Words, _powers, mix, spans, text_buffers, words
+from .blocks import _CODES, Words, spans, text_buffers, words
 from .scratch import materialize
 
 SAMPLE = 40_000
-TOKENS = 1 << 17
-PREFIX = 5
 PRIOR = 200.0
 FLOOR = 0.1
 DRIFT = 0.35
@@ -35,22 +33,6 @@ _LETTERS = _CODES.copy()
 _LETTERS[[b for b in range(128) if not chr(b).isalnum()]] = 0
 
 
-def _keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(word hash, hash of its first bytes) of each word."""
-    if not len(w.start):
-        return w.hash, w.hash
-    values = _LETTERS[w.data]
-    place = np.arange(len(values)) - np.repeat(w.start, np.diff(np.append(w.start, len(values)))) if w.start[0] == 0 else None
-    if place is None:
-        pad = np.zeros(w.start[0], np.int64)
-        place = np.concatenate([pad, np.arange(len(values) - w.start[0]) + w.start[0] - np.repeat(w.start, np.diff(np.append(w.start, len(values))))])
-    values[place >= PREFIX] = 0
-    up, down = _powers(len(values))
-    values *= up[: len(values)]
-    short = np.add.reduceat(values, w.start) * down[w.start]
-    return w.hash, mix(short + U64(0x1234567))
-
-
 def _first(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Index of one occurrence of each key in each row."""
     order = np.lexsort((keys, rows))
@@ -61,7 +43,7 @@ def _first(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, y, c) of (label, text): texts with each word or prefix by label 0..3."""
+    """(h, y, c) of (label, text): texts with each word by label 0..3."""
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
         label = batch.column(0).to_numpy(zero_copy_only=False)
@@ -71,8 +53,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for side in range(4):
                 pick = y == side
                 # a word counts once per text, so that one text or its copies make no evidence by repetition
-                once = [k[pick][_first(k[pick], w.doc[pick])] for k in _keys(w)]
-                u, c = np.unique(np.concatenate(once), return_counts=True)
+                own = w.hash[pick]
+                u, c = np.unique(own[_first(own, w.doc[pick])], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), side, np.int32)), pa.array(c)], ["h", "y", "c"])
 
 
@@ -106,14 +88,10 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 def _token_scores(m: ToxicModel, w: Words) -> np.ndarray:
     out = np.full(len(w.hash), -DRIFT)
     if len(m.keys) and len(w.hash):
-        whole, short = _keys(w)
-        rest = np.arange(len(whole))
-        for keys in (whole, short):
-            k = keys[rest].view(np.int64)
-            spot = np.minimum(np.searchsorted(m.keys, k), len(m.keys) - 1)
-            hit = m.keys[spot] == k
-            out[rest[hit]] = m.scores[spot[hit]] - DRIFT
-            rest = rest[~hit]
+        k = w.hash.view(np.int64)
+        spot = np.minimum(np.searchsorted(m.keys, k), len(m.keys) - 1)
+        hit = m.keys[spot] == k
+        out[hit] = m.scores[spot[hit]] - DRIFT
     return out
 
 
@@ -142,10 +120,13 @@ def _rate(scores: np.ndarray, shares: np.ndarray) -> float:
     return high
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, tokens: int = TOKENS) -> ToxicModel:
-    """Learn from at most `sample` labelled rows, those of the smallest hash of their id; at most `tokens` scores are kept."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> ToxicModel:
+    """Learn from at most `sample` labelled ids, those of the smallest hash; ids with both labels are left out.
+
+    The dictionary, which every worker holds, has no more entries than those texts have words.
+    """
     picked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    picked = picked.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
+    picked = picked.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high")).filter("label = high").drop("high").orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     rows = rows.dropDuplicates(["text", "label"])
     # a quarter of the texts calibrates scores learnt from the others; the final scores are learnt from all
@@ -154,8 +135,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
     of = lambda *sides: F.sum(F.when(F.col("y").isin(*sides), F.col("c")).otherwise(0))
     counts = rows.mapInArrow(_count, "h long, y int, c long").groupBy("h").agg(of(1, 3).alias("a"), of(0, 2).alias("b"), of(1).alias("a1"), of(0).alias("b1"))
     counts = materialize(counts.filter("a + b >= 4"), "toxic-counts")
-    m = _dictionary(counts, "a", "b", tokens)
-    trial = _dictionary(counts, "a1", "b1", tokens)
+    m = _dictionary(counts, "a", "b")
+    trial = _dictionary(counts, "a1", "b1")
     if not len(m.keys) or not len(trial.keys):
         return m
     apart = rows.filter("label >= 2").select((F.col("label") - 2).alias("label"), "text")
@@ -176,7 +157,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
     return m
 
 
-def _dictionary(counts: DataFrame, a: str, b: str, tokens: int) -> ToxicModel:
+def _dictionary(counts: DataFrame, a: str, b: str) -> ToxicModel:
     """Token scores and their lambda from the counts a (label 1) and b (label 0)."""
     n = counts.agg(F.coalesce(F.sum(a), F.lit(0)).alias("a"), F.coalesce(F.sum(b), F.lit(0)).alias("b")).first()
     if not n.a or not n.b:
@@ -186,7 +167,7 @@ def _dictionary(counts: DataFrame, a: str, b: str, tokens: int) -> ToxicModel:
     up, down = F.col(a) + prior, F.col(b) + prior * (n.b / n.a)
     scored = counts.select("h", F.col(b).alias("b"), (F.log(up / n.a) - F.log(down / n.b)).alias("d"), F.sqrt(1 / up + 1 / down).alias("e"))
     scored = scored.withColumn("z", F.abs("d") / F.col("e"))
-    kept = scored.filter("z > 1.5").orderBy(F.desc("z"), "h").limit(tokens).select("h", "b", (F.signum("d") * (F.abs("d") - F.col("e"))).alias("s")).toPandas()
+    kept = scored.filter("z > 1.5").select("h", "b", (F.signum("d") * (F.abs("d") - F.col("e"))).alias("s")).toPandas()
     order = np.argsort(kept.h.to_numpy(np.int64))
     keys, scores, seen = kept.h.to_numpy(np.int64)[order], kept.s.to_numpy(float)[order], kept.b.to_numpy(float)[order]
     share = seen / n.b
