@@ -152,9 +152,9 @@ def _featured(frame: DataFrame) -> DataFrame:
 
 
 def fit_ranker(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, sample: int = SAMPLE) -> Ranker:
-    """Learn from at most `sample` labelled rows, those of the smallest hash of their id."""
+    """Learn from at most `sample` labelled ids, those of the smallest hash; ids with both labels are left out."""
     picked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    picked = picked.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
+    picked = picked.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high")).filter("label = high").drop("high").orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("label", "text")
     found = _featured(rows).toArrow().combine_chunks()
     y = found.column("label").to_numpy()
