@@ -5,7 +5,10 @@ windows of n + stride - 1 words, every `stride` words, so some window holds any
 whole. A window's MinHash values are bands of one row: a window and a template of similarity J
 share none with probability (1 - J) ** BANDS. A text is cut into windows only around anchors:
 words of a template chosen so that a passage without any of them lacks more than a fifth of the
-template's shingles. DataFrame functions only; nothing but the few candidates is shuffled.
+template's shingles. A text's words are looked up in the set of all anchors; those found are looked
+up in the map of anchors, which tells the sizes of the windows to cut. The plan has the same steps
+for any number of templates; their tables are broadcast up to BROADCAST_BYTES and shuffled beyond.
+DataFrame functions only; nothing but the few candidates is shuffled.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_table
+
 BANDS = 24
 SHINGLE = 5
-#: Bytes of template texts that may be broadcast; more are refused, as templates are a curated list.
-TEMPLATE_BYTES = 4 << 20
+#: The templates' bands, shingles and anchors are broadcast where the texts have at most so many bytes (about ten times that in memory).
+BROADCAST_BYTES = 4 << 20
 # fixed values: public license notices
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -75,19 +80,6 @@ def _bands(hashes: Column) -> Column:
     return F.array(*map(band, range(BANDS)))
 
 
-def _windows(words: Column, anchors: list[str], size: int, stride: int) -> Column:
-    """(size, start, window) of the windows from word k * stride on that hold an anchor; they are long enough to hold `size` words from any start between."""
-    span = size + stride - 1
-    hit = F.filter(F.transform(words, lambda x, i: F.when(x.isin(anchors), i)), lambda i: i.isNotNull())
-
-    def around(i: Column) -> Column:
-        low = F.greatest(F.lit(0), F.ceil((i - span + 1) / stride).cast("int"))
-        return F.sequence(low, F.greatest(low, F.floor(i / stride).cast("int")))
-
-    starts = F.array_distinct(F.flatten(F.transform(hit, around)))
-    return F.transform(starts, lambda k: F.struct(F.lit(size).alias("size"), (k * stride).alias("start"), F.slice(words, k * stride + 1, span).alias("window")))
-
-
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """One row per document and template found: id_col, license, start_word, n_words, containment.
 
@@ -97,33 +89,35 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     """
     spark = docs.sparkSession
     texts = templates if templates is not None else TEMPLATES
-    if sum(map(len, texts.values())) > TEMPLATE_BYTES:
-        raise ValueError("the templates exceed TEMPLATE_BYTES")
     made = [make_template(name, text) for name, text in sorted(texts.items())]
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, license string, start_word int, n_words int, containment double"
     if not made:
         return spark.createDataFrame([], schema)
-    low = F.lower(F.col(text_col))
+    small = F.broadcast if sum(map(len, texts.values())) <= BROADCAST_BYTES else (lambda table: table)
     wanted = sorted({a for t in made for a in t.anchors})
-    some = F.col(text_col).isNotNull()
-    any_anchor = F.lit(False)
-    for a in wanted:
-        any_anchor = any_anchor | F.contains("low", F.lit(a))
-    # the id is not deterministic, so that the filter stays above and the lower-casing is done once
-    rows = docs.filter(some).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), low.alias("low")).filter(any_anchor)
-    rows = rows.select("uid", "id", F.split(F.trim(F.regexp_replace("low", "[^a-z0-9]+", " ")), " ").alias("words")).filter(F.size("words") >= SHINGLE)
-    index = spark.createDataFrame([(t.name, len(t.words), t.words) for t in made], "license string, size int, template array<string>")
-    index = index.select("license", "size", _hashes(F.col("template")).alias("wanted")).select("license", "size", "wanted", F.posexplode(_bands(F.col("wanted"))).alias("band", "value"))
-
-    # windows by template size, around the anchors of the templates of that size, cut in one pass
-    cuts = []
-    for size in sorted({len(t.words) for t in made}):
-        own = [t for t in made if len(t.words) == size]
-        cuts.append(_windows(F.col("words"), sorted({a for t in own for a in t.anchors}), size, own[0].stride))
-    cut = rows.select("uid", "id", F.inline(F.flatten(F.array(*cuts))))
-    windows = cut.filter(F.size("window") >= SHINGLE).select("uid", "id", "size", "start", F.size("window").alias("n_words"), _hashes(F.col("window")).alias("have"))
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.col(text_col)), "[^a-z0-9]+", " ")), " ")
+    # the row number is not deterministic, so that the filters on words stay above and the texts are split once
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), words.alias("words"))
+    rows = rows.filter((F.size("words") >= SHINGLE) & F.exists("words", lambda x: x.isin(wanted)))
+    templates_ = small_table(spark, [(t.name, len(t.words), t.words) for t in made], "license string, size int, template array<string>").select("license", "size", _hashes(F.col("template")).alias("wanted"))
+    index = templates_.select("license", "size", F.posexplode(_bands(F.col("wanted"))).alias("band", "value"))
+
+    # all windows of `size` words and more that hold an anchor, from word k * stride on; several anchors may lead to one
+    sizes = {a: sorted({(len(t.words), t.stride) for t in made if a in t.anchors}) for a in wanted}
+    lengths = F.map_from_arrays(F.array(*map(F.lit, wanted)), F.array(*(F.array(*(F.struct(F.lit(n).alias("size"), F.lit(k).alias("stride")) for n, k in sizes[a])) for a in wanted)))
+
+    def starts(at: Column, kind: Column) -> Column:
+        low = F.greatest(F.lit(0), F.ceil((at - (kind["size"] + kind["stride"] - 1) + 1) / kind["stride"]).cast("int"))
+        ks = F.sequence(low, F.greatest(low, F.floor(at / kind["stride"]).cast("int")))
+        return F.transform(ks, lambda k: F.struct(kind["size"].alias("size"), (kind["size"] + kind["stride"] - 1).alias("span"), (k * kind["stride"]).alias("start")))
+
+    found = F.filter(F.transform("words", lambda x, i: F.struct(i.alias("at"), x.alias("anchor"))), lambda h: h["anchor"].isin(wanted))
+    places = F.flatten(F.transform(found, lambda h: F.flatten(F.transform(F.element_at(lengths, h["anchor"]), lambda kind: starts(h["at"], kind)))))
+    cut = rows.select("uid", "id", "words", F.inline(F.array_distinct(places)))
+    windows = cut.select("uid", "id", "size", "start", F.slice("words", F.col("start") + 1, F.col("span")).alias("window")).filter(F.size("window") >= SHINGLE)
+    windows = windows.select("uid", "id", "size", "start", F.size("window").alias("n_words"), _hashes(F.col("window")).alias("have"))
     keyed = windows.withColumn("bands", _bands(F.col("have"))).select("uid", "id", "size", "start", "n_words", "have", F.posexplode("bands").alias("band", "value"))
-    found = keyed.join(F.broadcast(index), ["size", "band", "value"])
+    found = keyed.join(small(index), ["size", "band", "value"]).join(small(templates_.drop("size")), "license")
     share = F.size(F.array_intersect("have", "wanted")) / F.size("wanted")
     best = found.withColumn("containment", share).filter(F.col("containment") >= least).groupBy("uid", "license").agg(
         F.first("id").alias(id_col), F.max(F.struct("containment", (-F.col("start")).alias("minus"), "n_words")).alias("best")
