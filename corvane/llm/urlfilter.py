@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this number (with their tokens a few hundred bytes each) are broadcast; more are shuffled.
 BROADCAST_RULES = 20_000
@@ -74,7 +76,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     target = F.concat("host", "path")
     tokens = F.array_distinct(F.filter(F.split(lower_ascii(target), "[^a-z0-9]+"), lambda t: t != ""))
-    table = spark.createDataFrame([(r.name, r.verdict, r.pattern, r.host_rule, list(r.tokens) or [""]) for r in rules], "name string, verdict string, pattern string, host_rule boolean, tokens array<string>")
+    table = small_table(spark, [(r.name, r.verdict, r.pattern, r.host_rule, list(r.tokens) or [""]) for r in rules], "name string, verdict string, pattern string, host_rule boolean, tokens array<string>")
     small = F.broadcast if len(rules) <= BROADCAST_RULES else (lambda x: x)
     # file each rule under its rarest token
     filed = table.select("name", "verdict", "pattern", "host_rule", F.explode("tokens").alias("token"))
