@@ -12,6 +12,7 @@ Copies that fall into different shards are stored once per shard.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -78,6 +79,8 @@ def tar_entry(head: bytes) -> tuple[str, int]:
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder's address; Hadoop's names of S3 stand for s3."""
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
