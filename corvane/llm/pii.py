@@ -29,6 +29,7 @@ KINDS = ["email", "ip", "card", "phone", "secret"]
 EXAMPLES = 12_000
 PRECISION = 0.99
 MARK = "\u0001"
+#: Characters of context before and after a candidate that its features look at.
 LEFT, RIGHT = 24, 2
 # fixed values: the base patterns, written so that they cannot backtrack
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -37,7 +38,7 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 # candidate patterns
-NUMBERS = r"(?<![0-9A-Za-z])[(+]?[0-9][0-9().+\x20-]{5,38}[0-9](?![0-9A-Za-z])"
+NUMBERS = r"(?<![0-9A-Za-z])[(+]?[0-9][0-9().+\x20-]{5,}[0-9](?![0-9A-Za-z])"
 _TEN = r"[(]?[0-9]{3}[)]?[\x20.-]\x20?[0-9]{3}[\x20.-][0-9]{4}"
 TEN = rf"(?<![0-9A-Za-z]){_TEN}(?![0-9A-Za-z])"
 ABROAD = rf"\+[0-9]{{1,3}}[\x20.-]?(?:{_TEN}|[(]?[0-9]{{1,4}}[)]?[\x20.-]?[0-9]{{3,8}}(?:[.-][0-9]{{2,4}}){{0,3}})(?![0-9A-Za-z])"
@@ -93,9 +94,9 @@ def is_phone(t: Column) -> Column:
 
 # ------------------------------------------------------------------ features
 # name -> test of a candidate c (kind, t, left, right); kind is number, mail or secret
-_SPOKEN = "(?i)(?:tel|phone|telephone|call|fax|mobile|cell|whatsapp|contact)[^A-Za-z0-9]*$"
-_COUNTED = "(?i)(?:order|invoice|no|nr|number|version|page|isbn|issn|id|total|item|ref|part|room|art)[^A-Za-z0-9]*$"
-_COUNTED_RUN = "(?i)(?:order|invoice|no|nr|number|version|page|isbn|issn|id|total|item|ref|part|room|art)[^A-Za-z]*$"
+_SPOKEN = "(?i)(?<!\\p{L})(?:tel|phone|telephone|call|fax|mobile|cell|whatsapp|contact)[^A-Za-z0-9]*$"
+_COUNTED = "(?i)(?<!\\p{L})(?:order|invoice|no|nr|number|version|page|isbn|issn|id|total|item|ref|part|room|art)[^A-Za-z0-9]*$"
+_COUNTED_RUN = "(?i)(?<!\\p{L})(?:order|invoice|no|nr|number|version|page|isbn|issn|id|total|item|ref|part|room|art)[^A-Za-z]*$"
 
 
 def _features(c: Column) -> list[tuple[str, Column]]:
