@@ -72,7 +72,8 @@ def service_health(spark, sf_dir):
     from corvane.streaming import jobs
 
     events = table(spark, sf_dir, "events")
-    seconds = events.agg(F.timestamp_diff("SECOND", F.min("ts").cast("timestamp_ltz"), F.max("ts").cast("timestamp_ltz")).alias("uptime_seconds"))
+    second = lambda t: F.unix_seconds(t.cast("timestamp_ltz"))
+    seconds = events.agg((second(F.max("ts")) - second(F.min("ts"))).alias("uptime_seconds"))
     state = jobs.lifecycle(jobs.from_events(events)).agg(F.count_if(F.col("status") == "RUNNING").alias("active_jobs"), F.count("*").alias("jobs"))
     return state.crossJoin(seconds)  # one row by one row
 

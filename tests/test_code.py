@@ -2,7 +2,7 @@
 
 import pytest
 
-from corvane.operators import pyast, structure
+from corvane.operators import outline, pyast, structure
 from corvane.plans import review, snippets
 
 
@@ -76,6 +76,80 @@ def test_structure():
     assert structure.block_end(["a {", "b", "}", "c"], 1) == 3 and structure.block_end(["a {"], 1) == 1
 
 
+OUTLINES = {
+    "java": ("""package p;
+import java.util.List; // import no.This;
+import static org.junit.Assert.*;
+/* class Nope { } */
+@Entity(name = "x")
+public abstract class Box<T> extends Base<T> implements Thing, a.b.Other {
+    private static final int N = f(1);
+    @Override
+    public static <K> int size(Map<K, String> a, int... b) throws IOException { return g(a); }
+    protected abstract void open();
+    void bare() { if (x) { call(y); } }
+}
+interface Shape { }
+enum Kind { A, B }
+""", [("import", "java.util.List", 2), ("import", "org.junit.Assert.*", 3), ("class", "Box", 6), ("function", "size", 9), ("function", "open", 10), ("class", "Shape", 13), ("class", "Kind", 14)]),
+    "cpp": ("""#include <vector>
+#  include "shape.h"
+template <typename T>
+class Circle : public Shape, private ns::Base<T> {
+ public:
+  virtual int area(int r) const;
+  explicit Circle(int r) : r_(r) {}
+};
+struct Point { int x; };
+std::vector<int> Circle::all(const std::string& s, int n = 3) { return make(s); }
+static int twice(int r) {
+  auto y = compute(r);
+  return twice(r);
+}
+""", [("import", "vector", 1), ("import", "shape.h", 2), ("class", "Circle", 3), ("function", "area", 6), ("class", "Point", 9), ("function", "all", 10), ("function", "twice", 11)]),
+    "javascript": ("""import React, { useState } from 'react'
+import './style.css'
+const fs = require("fs")
+// function no() {}
+export default class App extends React.Component {
+  render() { return null }
+}
+async function load(url, opts) { await fetch(url) }
+function* gen() {}
+export const add = (a, b) => a + b
+let twice = async x => x * 2
+var old = function (q) { return q }
+const text = "function inside() {}"
+""", [("import", "react", 1), ("import", "./style.css", 2), ("import", "fs", 3), ("class", "App", 5), ("function", "load", 8), ("function", "gen", 9), ("function", "add", 10), ("function", "twice", 11), ("function", "old", 12)]),
+    "typescript": ("""import type { A } from "lib/a";
+export interface Shape extends Base, Other { area: number }
+export class Square implements Shape { side: number; }
+export function size(s: Shape, n: Map<string, number>): number {
+  return n
+}
+""", [("import", "lib/a", 1), ("class", "Shape", 2), ("class", "Square", 3), ("function", "size", 4)]),
+}
+
+
+@pytest.mark.parametrize("language", sorted(OUTLINES))
+def test_outlines(language):
+    source, want = OUTLINES[language]
+    assert [(k, n, a) for k, n, a, _, _ in structure.parse(source, language)] == want
+
+
+def test_outline_details():
+    of = lambda lang: {n: d for _, n, _, _, d in structure.parse(OUTLINES[lang][0], lang)}
+    assert of("java")["Box"]["bases"] == ["Base", "Thing", "a.b.Other"] and of("java")["size"] == {"params": ["Map<K, String> a", "int... b"], "is_static": True}
+    assert of("cpp")["Circle"]["bases"] == ["Shape", "ns::Base"] and of("cpp")["all"]["params"] == ["const std::string& s", "int n = 3"]
+    assert of("javascript")["App"]["bases"] == ["React.Component"] and of("javascript")["load"] == {"params": ["url", "opts"], "is_async": True} and of("javascript")["twice"] == {"params": ["x"], "is_async": True}
+    assert of("typescript")["Shape"]["bases"] == ["Base", "Other"] and of("typescript")["size"]["params"] == ["s: Shape", "n: Map<string, number>"]
+    assert [outline.imported_modules(OUTLINES[x][0], x) for x in ("java", "cpp", "javascript", "typescript")] == [["util", "Assert"], ["vector", "shape"], ["react", "fs"], ["lib"]]
+    for x in ("java", "cpp", "javascript", "typescript"):
+        for cut in range(0, len(OUTLINES[x][0]), 7):
+            list(structure.parse(OUTLINES[x][0][:cut], x))  # broken sources do not fail
+        assert list(structure.parse("", x)) == []
+
+
 def test_splitter_bounds_and_keeps_text():
     text = "\n\n".join("word " * (17 * i) for i in range(1, 20))
     pieces = structure.split_text(text, size=200, overlap=40)
