@@ -11,6 +11,7 @@ PENALTY = {"CRITICAL": "20", "HIGH": "10", "MEDIUM": "5", "LOW": "2", "INFO": "0
 FLAT_PENALTY = {"CRITICAL": 15, "HIGH": 8, "MEDIUM": 3, "LOW": 1, "INFO": 0}
 WEIGHTS = {"bug": "0.30", "solid": "0.25", "architecture": "0.20", "security": "0.15", "complexity": "0.10"}
 GRADES = [(90, "A"), (75, "B"), (60, "C"), (45, "D"), (0, "F")]
+COLOURS = {"report": [(75, "green"), (50, "orange")], "card": [(90, "green"), (75, "blue"), (60, "orange")]}
 THRESHOLDS = {"cyclomatic": [(40, "CRITICAL"), (25, "HIGH"), (15, "MEDIUM")], "cognitive": [(35, "CRITICAL"), (25, "HIGH"), (18, "MEDIUM")], "nesting": [(6, "HIGH"), (5, "MEDIUM")], "loc": [(120, "CRITICAL"), (80, "HIGH"), (60, "MEDIUM")]}
 
 
@@ -65,3 +66,11 @@ def grade(score: Column) -> Column:
 def round1(value: Column) -> Column:
     """One decimal, halves away from zero, computed in decimals."""
     return F.round(value, 1).cast("double")
+
+
+def score_colour(score: Column, scale: str = "report") -> Column:
+    """Colour of a score on the report's scale, or of a grade's band on the card's."""
+    out = F.lit("red")
+    for least, name in reversed(COLOURS[scale]):
+        out = F.when(score >= least, name).otherwise(out)
+    return out

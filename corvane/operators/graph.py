@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import base_name, layer_rank, slashes, stem
@@ -12,6 +12,8 @@ from corvane.functions.paths import base_name, layer_rank, slashes, stem
 TIGHT_COUPLING = 10
 MUD_FAN_OUT, MUD_FILES, MUD_LAYERED = 7.0, 5, 0.2
 GOD_SCORE = 72
+#: Edges of one repository that a task may gather.
+MAX_EDGES = 5_000_000
 ENTRY_POINTS = ["main.py", "core.py", "__init__.py"]
 
 
@@ -21,12 +23,14 @@ def import_edges(modules: DataFrame, imports: DataFrame) -> DataFrame:
     modules(repo_id, file_path, ordinal).
     """
     by_stem = modules.withColumn("stem", stem(F.col("file_path"))).groupBy("repo_id", "stem").agg(F.max_by("file_path", "ordinal").alias("dst"))
-    wanted = imports.select("repo_id", F.col("file_path").alias("src"), F.col("module").alias("stem")).distinct()
+    # a stem names one file, so imports are made distinct once, after the join, with the map-side combine
+    wanted = imports.select("repo_id", F.col("file_path").alias("src"), F.col("module").alias("stem"))
     return wanted.join(by_stem, ["repo_id", "stem"]).filter("src <> dst").select("repo_id", "src", "dst").distinct()
 
 
 def fan_out(edges: DataFrame, least: int = TIGHT_COUPLING) -> DataFrame:
-    return edges.groupBy("repo_id", "src").agg(F.count_distinct("dst").alias("fan_out")).filter(F.col("fan_out") >= least)
+    """Files with `least` edges or more; edges are distinct."""
+    return edges.groupBy("repo_id", "src").agg(F.count("*").alias("fan_out")).filter(F.col("fan_out") >= least)
 
 
 def layer_violations(edges: DataFrame) -> DataFrame:
@@ -101,12 +105,29 @@ def strong_components(nodes: dict[str, list[str]]) -> list[list[str]]:
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(repo_id, members): import cycles per repository. A repository is bounded by its cap on files."""
+    """(repo_id, members): import cycles per repository.
+
+    A task gathers one repository's edges; a source caps a repository's files, and more than MAX_EDGES are refused.
+    """
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         nodes: dict[str, list[str]] = {}
+        if len(frame) > MAX_EDGES:
+            raise ValueError(f"repository {key[0]} has {len(frame)} edges")
         for a, b in zip(frame.src, frame.dst, strict=True):
             nodes.setdefault(a, []).append(b)
         return pd.DataFrame({"repo_id": key[0], "members": strong_components(nodes)}, columns=["repo_id", "members"])
 
-    return edges.select("repo_id", "src", "dst").distinct().groupBy("repo_id").applyInPandas(run, f"repo_id {edges.schema['repo_id'].dataType.simpleString()}, members array<string>")
+    return edges.select("repo_id", "src", "dst").groupBy("repo_id").applyInPandas(run, f"repo_id {edges.schema['repo_id'].dataType.simpleString()}, members array<string>")
+
+
+def repository_summary(modules: DataFrame, edges: DataFrame, top: int = 10, shown: int = 5) -> DataFrame:
+    """(repo_id, place, line): files analysed, and the files with most imports with what they depend on; ties by path."""
+    w = Window.partitionBy("repo_id").orderBy(F.desc("n_imports"), "file_path")
+    best = modules.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    first = Window.partitionBy("repo_id", "src").orderBy("dst")
+    deps = edges.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= shown).groupBy("repo_id", F.col("src").alias("file_path")).agg(F.array_join(F.array_sort(F.collect_list("dst")), ", ").alias("deps"))
+    listed = best.join(deps, ["repo_id", "file_path"], "left")
+    line = F.concat(F.format_string("%s: %d imports, %d classes, %d functions", "file_path", "n_imports", "classes", "functions"), F.coalesce(F.concat(F.lit("; depends on "), F.col("deps")), F.lit("")))
+    head = modules.groupBy("repo_id").agg(F.format_string("Files analysed: %d", F.count("*")).alias("line")).select("repo_id", F.lit(0).alias("place"), "line")
+    return head.union(listed.select("repo_id", F.col("rank").alias("place"), line.alias("line")))

@@ -9,14 +9,15 @@ from __future__ import annotations
 import ast
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import is_production
 
+from .outline import imported_modules
 from .pyrules import Function, Hit, Scan, dotted
 
 # fixed values: constructors that are no collaborators, and limits of the design rules
@@ -72,9 +73,9 @@ class Module:
     def imports(self) -> Iterator[tuple[str, dict]]:
         for n in self.nodes:
             if isinstance(n, ast.Import):
-                yield from ((a.name, {"alias": a.asname, "symbols": []}) for a in n.names)
+                yield from ((a.name, {"alias": a.asname, "symbols": [], "stem": a.name.split(".")[0]}) for a in n.names)
             elif isinstance(n, ast.ImportFrom):
-                yield n.module or "", {"alias": None, "symbols": [a.name for a in n.names]}
+                yield n.module or "", {"alias": None, "symbols": [a.name for a in n.names], "stem": (n.module or "").split(".")[0]}
 
 
 def cyclomatic(fn: ast.AST) -> int:
@@ -144,8 +145,12 @@ def _function(n: ast.AST) -> dict:
     return {"params": [a.arg for a in n.args.args], "is_async": isinstance(n, ast.AsyncFunctionDef), "decorators": [ast.unparse(d) for d in n.decorator_list], "docstring": (ast.get_docstring(n, clean=False) or "")[:500] or None}
 
 
-def analyse(source: str, path: str = "") -> Iterator[tuple]:
-    """Rows of COLUMNS for one file."""
+def analyse(source: str, path: str = "", language: str = "python") -> Iterator[tuple]:
+    """Rows of COLUMNS for one file; of other languages than Python, its imports."""
+    if language != "python":
+        for k, stem in enumerate(imported_modules(source, language)):
+            yield "import", None, stem, 1, 1, None, k, json.dumps({"alias": None, "symbols": [], "stem": stem})
+        return
     try:
         module = Module(source, path)
         rows = list(_rows(module))
@@ -155,6 +160,20 @@ def analyse(source: str, path: str = "") -> Iterator[tuple]:
     yield from rows
 
 
+def design(source: str, path: str = "", language: str = "python") -> Iterator[tuple]:
+    """The rows of the design rules alone; a source that cannot be parsed has none."""
+    try:
+        module = Module(source, path)
+        yield from _solid_rows(module)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return
+
+
+def _solid_rows(m: Module) -> Iterator[tuple]:
+    for k, (rule, n, detail) in enumerate(m.solid()):
+        yield "solid", rule, n.name, n.lineno, n.end_lineno, 0.75, k, json.dumps(detail)
+
+
 def _rows(m: Module) -> Iterator[tuple]:
     masked = set(docstring_lines(m.source))
     seq = 0
@@ -163,8 +182,7 @@ def _rows(m: Module) -> Iterator[tuple]:
             line = m.source.splitlines()[n.lineno - 1].strip()
             yield "rule", rule, line[:120], n.lineno, n.end_lineno, confidence, seq, None
             seq += 1
-    for k, (rule, n, detail) in enumerate(m.solid()):
-        yield "solid", rule, n.name, n.lineno, n.end_lineno, 0.75, k, json.dumps(detail)
+    yield from _solid_rows(m)
     for k, (n, values) in enumerate(m.metrics()):
         yield "metric", None, n.name, n.lineno, n.end_lineno, None, k, json.dumps(values)
     for k, (name, detail) in enumerate(m.imports()):
@@ -180,24 +198,35 @@ def _rows(m: Module) -> Iterator[tuple]:
     yield "entity", None, "counts", 1, 1, None, 0, json.dumps({"classes": classes, "functions": functions})
 
 
-def analyse_files(files: DataFrame, keys: list[str], production_only: bool = True) -> DataFrame:
-    """Rows of all Python files of files(keys…, file_path, language, content).
+def analyse_files(files: DataFrame, keys: list[str], production_only: bool = True, what: Callable[..., Iterator[tuple]] = analyse, languages: list[str] | None = None) -> DataFrame:
+    """Rows that `what` gives for the files(keys…, file_path, language, content) in `languages` (Python alone unless told otherwise).
 
     The filters stand before the Python function, as nothing is pushed through it.
     """
     if production_only:
         files = files.filter(is_production(F.col("file_path")))
-    files = files.filter("language = 'python' and content is not null").select(F.struct(*keys, "file_path").alias("k"), "file_path", "content")
+    files = files.filter(F.col("language").isin(languages or ["python"]) & F.col("content").isNotNull()).select(F.struct(*keys, "file_path").alias("k"), "file_path", "language", "content")
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (path, content) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                rows = list(analyse(content, path))
+            for i, (path, language, content) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                rows = list(what(content, path, language))
                 if rows:
                     head = batch.column(0).take(pa.array([i] * len(rows)))
                     yield pa.RecordBatch.from_arrays([head, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["k", *names])
 
     schema = f"k {files.schema['k'].dataType.simpleString()}, {COLUMNS}"
-    return files.select("k", "file_path", "content").mapInArrow(run, schema).select("k.*", *names)
+    return files.mapInArrow(run, schema).select("k.*", *names)
+
+
+def docstring_mask(content: Column) -> Column:
+    """0-based numbers of the lines in triple-quoted strings; a text without triple quotes needs no Python."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("array<int>")
+    def mask(column: pa.Array) -> pa.Array:
+        return pa.array([docstring_lines(x) if x and ('"""' in x or "'''" in x) else [] for x in column.to_pylist()], pa.list_(pa.int32()))
+
+    return mask(content)

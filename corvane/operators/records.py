@@ -31,6 +31,24 @@ def issue_list(cyclomatic: Column, cognitive: Column, nesting: Column, loc: Colu
     )
 
 
+# fixed values: from which value on a metric gets which grade of advice
+ADVICE = {"cyclomatic": [(20, "CRITICAL"), (15, "HIGH"), (10, "MEDIUM"), (5, "LOW")], "cognitive": [(30, "CRITICAL"), (20, "HIGH"), (15, "MEDIUM"), (7, "LOW")], "nesting": [(5, "HIGH"), (3, "MEDIUM")]}
+HINTS = {"cyclomatic": "split it by its branches, or return early", "cognitive": "flatten its conditions and move loop bodies out", "nesting": "turn its conditions round and leave early"}
+
+
+def advice(cyclomatic: Column, cognitive: Column, nesting: Column) -> Column:
+    """What to do about a function, one sentence per metric that is worth it, the grade first."""
+    values = {"cyclomatic": cyclomatic, "cognitive": cognitive, "nesting": nesting}
+
+    def part(metric: str) -> Column:
+        grade = F.lit(None).cast("string")
+        for least, name in reversed(ADVICE[metric]):
+            grade = F.when(values[metric] >= least, name).otherwise(grade)
+        return F.when(grade.isNotNull(), F.concat(grade, F.lit(f": {metric} "), values[metric].cast("string"), F.lit(f", {HINTS[metric]}.")))
+
+    return F.concat_ws(" ", *map(part, values))
+
+
 def is_http_get(line: Column) -> Column:
     """Whether a client-like name stands before the line's first .get( call."""
     return line.rlike(HTTP_WORDS)
@@ -84,6 +102,6 @@ def summary(findings: DataFrame, repos: DataFrame) -> DataFrame:
     return every.join(counts, ["repo_id", "category"], "left").select("repo_id", "category", *zero)
 
 
-def write_json(findings: DataFrame, path: str) -> None:
-    """Findings as JSON lines."""
-    findings.write.mode("overwrite").json(path)
+def write_json(findings: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Findings as JSON lines; an existing folder is left alone unless told to overwrite it."""
+    findings.write.mode("overwrite" if overwrite else "errorifexists").json(path)

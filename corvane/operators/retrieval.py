@@ -41,12 +41,16 @@ def hash_embed(text: Column, dimension: int = DIMENSION) -> Column:
 
     @arrow_udf("array<float>")
     def embed(column: pa.Array) -> pa.Array:
-        out = np.zeros((len(column), dimension), np.float32)
-        for row, value in zip(out, column.to_pylist(), strict=True):
-            h = np.array([zlib.crc32(w.encode()) for w in re.findall(r"\w+", (value or "").lower()) or [" "]])
-            np.add.at(row, h % dimension, np.where(h >> 31, 1, -1))
-            row /= np.linalg.norm(row) or 1
-        return pa.array(list(out), pa.list_(pa.float32()))
+        known: dict[str, int] = {}  # a word is hashed once per batch
+        texts = [re.findall(r"\w+", (value or "").lower()) or [" "] for value in column.to_pylist()]
+        for word in {w for words in texts for w in words}:
+            known[word] = zlib.crc32(word.encode())
+        h = np.array([known[w] for words in texts for w in words], np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+        sums = np.bincount(row * dimension + h % dimension, np.where(h >> 31, 1.0, -1.0), len(texts) * dimension).reshape(-1, dimension)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        out = (sums / np.where(size, size, 1)).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dimension), pa.array(out.ravel()))
 
     return embed(text)
 
@@ -137,6 +141,17 @@ def merge_stores(a: DataFrame, b: DataFrame, vector: str = "embedding") -> DataF
     return a.unionByName(b)
 
 
+#: Embedders by name; a model of one's own is registered here once and then named.
+EMBEDDERS: dict[str, Callable[..., Column]] = {"hash": hash_embed}
+
+
+def embedder(name: str = "hash") -> Callable[..., Column]:
+    """A registered embedder; an unknown name is an error that tells the known ones."""
+    if name not in EMBEDDERS:
+        raise StoreError(f"no embedder {name}; there are {', '.join(sorted(EMBEDDERS))}")
+    return EMBEDDERS[name]
+
+
 def build_store(chunks: DataFrame, text: str = "page_content", embed: Callable[[Column], Column] = hash_embed, vector: str = "embedding") -> DataFrame:
     """chunks with their vectors; rows without a text are left out."""
     return chunks.filter(F.col(text).isNotNull()).withColumn(vector, embed(F.col(text)))

@@ -42,11 +42,30 @@ def share_by_files(files: DataFrame, ordinal: str) -> DataFrame:
     return counts.select("repo_id", "language", "files", F.round(100.0 * F.col("files") / F.sum("files").over(w), 1).alias("share"), (F.row_number().over(ranked) == 1).alias("is_primary"))
 
 
-def share_by_lines(files: DataFrame) -> DataFrame:
-    """Share of each language by lines; the smallest takes what rounding left over."""
+def repository_metadata(files: DataFrame, ordinal: str) -> DataFrame:
+    """One row per repository: primary language, share of each language by lines, files, lines.
+
+    If the shares miss 100 by more than half a point, the last one takes the rest. Repositories have a line at least.
+    """
+    shares = share_by_lines(files, corrected=False)
+    first = files.groupBy("repo_id", "language").agg(F.min(ordinal).alias("seen"))
+    rows = shares.join(first, ["repo_id", "language"]).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seen"), "language", "share"))).alias("s"), F.max_by("language", F.struct("n_lines", "language")).alias("primary_language"), F.sum("n_lines").alias("n"))
+    total = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x["share"])
+    last = F.size("s") - 1
+    rest = F.round(100 - (total - F.element_at("s", -1)["share"]), 1)
+    mended = F.transform("s", lambda x, i: F.when((i == last) & (F.abs(total - 100) > 0.5), rest).otherwise(x["share"]))
+    counts = files.groupBy("repo_id").agg(F.count_distinct("file_path").alias("total_files"))
+    out = rows.select("repo_id", "primary_language", F.map_from_arrays(F.transform("s", lambda x: x["language"]), mended).alias("language_breakdown"), F.greatest("n", F.lit(1)).alias("total_lines"))
+    return out.join(counts, "repo_id")
+
+
+def share_by_lines(files: DataFrame, corrected: bool = True) -> DataFrame:
+    """Share of each language by lines, to one decimal; corrected: the smallest takes what rounding left over."""
     counts = files.groupBy("repo_id", "language").agg(F.sum(text.line_count(F.col("content"))).cast("long").alias("n_lines"))
     w, ranked = Window.partitionBy("repo_id"), Window.partitionBy("repo_id").orderBy(F.desc("n_lines"), "language")
     parts = counts.withColumn("part", F.round(100.0 * F.col("n_lines") / F.sum("n_lines").over(w), 1)).withColumn("place", F.row_number().over(ranked)).withColumn("k", F.count("*").over(w))
+    if not corrected:
+        return parts.select("repo_id", "language", "n_lines", F.col("part").alias("share"))
     before = F.sum("part").over(ranked.rowsBetween(Window.unboundedPreceding, -1))
     return parts.select("repo_id", "language", "n_lines", F.when(F.col("place") < F.col("k"), F.col("part")).otherwise(F.round(100 - F.coalesce(before, F.lit(0.0)), 1)).alias("share"))
 

@@ -7,9 +7,9 @@ import io
 import zipfile
 
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
-from corvane.operators import pyast, retrieval, structure
+from corvane.functions import severity
+from corvane.operators import pyast, retrieval, rules, structure
 from corvane.sources import files as sources
 
 from . import catalog, review, snippets
@@ -17,35 +17,84 @@ from .adapters import source_files, table
 from .catalog import query
 
 
-@query()
+# ------------------------------------------------------------------ program code made from lineitem: a file per part, a statement per line
+# a statement's text (after four blanks) and number of lines, by l_returnflag and l_linestatus
+STATEMENTS = {"A": ("y = x / count", 1), "R": ("while True:\n        pass", 2), "N": ("if isinstance(x, int):\n        y = 1", 2)}
+BROKEN = 13  # files whose part's number is divisible by this cannot be parsed
+
+
+def generated(spark, sf_dir):
+    """source_file rows: imports, and a function whose statements follow the part's lines in order."""
+    flag = F.col("l_returnflag")
+    text = F.lit("")
+    for name, (body, _) in STATEMENTS.items():
+        text = F.when(flag == name, body).otherwise(text)
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.struct("l_orderkey", "l_linenumber", "l_returnflag", F.concat(F.lit("    "), text, F.lit("\n")).alias("t")).alias("s"))
+    parts = lines.groupBy("l_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "").alias("body"))
+    key = F.col("l_partkey").cast("string")
+    head = F.concat(F.lit("import os\nfrom mod"), (F.col("l_partkey") % 7).cast("string"), F.lit(".sub import a\nimport os\n\ndef f"), key, F.lit("(x, count):\n"))
+    head = F.when(F.col("l_partkey") % BROKEN == 0, "def f(:\n").otherwise(head)
+    return parts.select("l_partkey", F.concat(F.lit("r"), (F.col("l_partkey") % 5).cast("string")).alias("repo_id"), F.concat(F.lit("app/p"), key, F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), F.concat(head, F.col("body")).alias("content"))
+
+
+GEN = f"""g AS (SELECT l_partkey, 'r' || (l_partkey % 5) AS repo_id, 'app/p' || l_partkey || '.py' AS file_path, l_returnflag AS flag, CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END AS size,
+sum(CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_returnflag ROWS UNBOUNDED PRECEDING) AS upto FROM lineitem WHERE l_partkey % {BROKEN} <> 0),
+fn AS (SELECT l_partkey, repo_id, file_path, CAST(sum(size) AS INT) AS body, CAST(count(*) FILTER (flag <> 'A') AS INT) AS blocks, count(*) FILTER (flag = 'N') AS checks FROM g GROUP BY ALL)"""
+
+
+@query(f"WITH {GEN} SELECT file_path, CASE flag WHEN 'A' THEN 'BUG-010' ELSE 'BUG-020' END AS rule_id, CAST(5 + upto - size + 1 AS INT) AS start_line, CASE flag WHEN 'A' THEN 'y = x / count' ELSE 'while True:' END AS name, CAST(CASE flag WHEN 'A' THEN 0.85 ELSE 0.82 END AS DOUBLE) AS confidence FROM g WHERE flag <> 'N'")
 def ast_rules(spark, sf_dir):
-    return pyast.analyse_files(snippets.files(spark), ["repo_id"]).filter("kind = 'rule'").select("file_path", "rule_id", "start_line", "name", "confidence", "seq")
+    return pyast.analyse_files(generated(spark, sf_dir), ["repo_id"]).filter("kind = 'rule'").select("file_path", "rule_id", "start_line", "name", "confidence")
 
 
-@query()
+@query(f"""WITH {GEN}, f AS (SELECT *, (body + 5 + 79) // 80 AS windows FROM fn)
+SELECT file_path, r.rule_id, CAST(1 AS INT) AS chunk_start FROM f, (VALUES ('SRP-002'), ('OCP-001')) r(rule_id) WHERE windows = 1 AND CASE r.rule_id WHEN 'SRP-002' THEN body + 1 >= 60 ELSE checks >= 3 END""")
 def solid_rules(spark, sf_dir):
-    return pyast.analyse_files(snippets.files(spark), ["repo_id"]).filter("kind = 'solid'").select("file_path", "rule_id", "name", "start_line", "end_line", "detail")
+    """Design rules by line window, of the files that fit one window."""
+    files = generated(spark, sf_dir)
+    found = review.solid_hits(files.filter(F.size(F.split("content", "\n")) - 1 <= 80))
+    return found.select("file_path", "rule_id", "chunk_start")
 
 
-@query()
+@query(f"WITH {GEN} SELECT file_path, 'f' || l_partkey AS name, 5 AS start_line, 5 + body AS end_line, 1 + body AS lines_of_code, 1 + blocks AS cyclomatic, blocks AS cognitive, 0 AS nesting FROM fn")
 def function_metrics(spark, sf_dir):
-    return review.function_metrics(pyast.analyse_files(snippets.files(spark), ["repo_id"]))
+    return review.function_metrics(pyast.analyse_files(generated(spark, sf_dir), ["repo_id"])).drop("repo_id")
 
 
-@query()
+@query(f"SELECT DISTINCT 'app/p' || l_partkey || '.py' AS file_path, 'SyntaxError' AS name FROM lineitem WHERE l_partkey % {BROKEN} = 0")
 def scan_errors(spark, sf_dir):
-    return pyast.analyse_files(snippets.files(spark), ["repo_id"]).filter("kind = 'error'").select("file_path", "name", "detail")
+    return pyast.analyse_files(generated(spark, sf_dir), ["repo_id"]).filter("kind = 'error'").select("file_path", "name")
 
 
-@query()
+@query(f"""WITH {GEN} SELECT file_path, 'function' AS kind, 'f' || l_partkey AS name, 5 AS start_line, 5 + body AS end_line FROM fn UNION ALL SELECT file_path, 'import', i.n, 1, 1 FROM fn, (VALUES ('os'), ('sub'), ('os')) t(k), LATERAL (SELECT CASE k WHEN 'sub' THEN 'mod' || (l_partkey % 7) || '.sub' ELSE k END AS n) i
+UNION ALL SELECT DISTINCT 'app/p' || l_partkey || '.py', 'error', 'SyntaxError', 1, 1 FROM lineitem WHERE l_partkey % {BROKEN} = 0""")
 def parsed_structure(spark, sf_dir):
-    return structure.parsed_structure(snippets.files(spark), ["repo_id"])
+    return structure.parsed_structure(generated(spark, sf_dir), ["repo_id"]).select("file_path", "kind", "name", "start_line", "end_line")
 
 
-@query()
+@query(f"""WITH {GEN} SELECT file_path, body + 6 AS n_lines, 2 AS n_imports, 'os,mod' || (l_partkey % 7) AS imports, 0 AS classes, 1 AS functions FROM fn
+UNION ALL SELECT 'app/p' || l_partkey || '.py', CAST(sum(CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END) AS INT) + 2, 0, '', 0, 0 FROM lineitem WHERE l_partkey % {BROKEN} = 0 GROUP BY l_partkey""")
 def module_summary(spark, sf_dir):
-    files = snippets.files(spark)
-    return review.module_summary(files, pyast.analyse_files(files, ["repo_id"])).drop("ordinal")
+    files = generated(spark, sf_dir)
+    found = review.module_summary(files, pyast.analyse_files(files, ["repo_id"]))
+    return found.select("file_path", "n_lines", "n_imports", F.array_join("imports", ",").alias("imports"), "classes", "functions")
+
+
+@query(f"""WITH {GEN}, a AS (SELECT repo_id, count(*) AS files, sum(body + 6) AS n FROM fn GROUP BY 1), b AS (SELECT 'r' || (l_partkey % 5) AS repo_id, count(DISTINCT l_partkey) AS files, sum(CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END) + 2 * count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_partkey % {BROKEN} = 0 GROUP BY 1)
+SELECT a.repo_id, a.files + coalesce(b.files, 0) AS total_files, CAST(a.n + coalesce(b.n, 0) AS BIGINT) AS total_lines, CAST(0 AS BIGINT) AS classes, a.files AS functions FROM a LEFT JOIN b USING (repo_id)""")
+def repository_properties(spark, sf_dir):
+    files = generated(spark, sf_dir)
+    modules = review.module_summary(files, pyast.analyse_files(files, ["repo_id"]))
+    return modules.groupBy("repo_id").agg(F.count("*").alias("total_files"), F.sum("n_lines").alias("total_lines"), F.sum("classes").alias("classes"), F.sum("functions").alias("functions"))
+
+
+@query("SELECT doc_id, 'BUG-031' AS rule_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 1 END AS INT) AS line_no FROM documents")
+def masked_line_hits(spark, sf_dir):
+    """Line rules leave out the lines of docstrings: code in the manner of each document's id."""
+    inside = 'x = 1\n"""\nconn = sqlite3.connect(a)\n"""\ndb = sqlite3.connect(b)'
+    content = F.when(F.col("doc_id") % 2 == 0, inside).otherwise("conn = sqlite3.connect(a)")
+    files = table(spark, sf_dir, "documents").select("doc_id", F.format_string("src/d%d.py", "doc_id").alias("file_path"), F.lit("python").alias("language"), content.alias("content"))
+    return rules.scan_lines(files, docstrings=pyast.docstring_mask(F.col("content"))).select("doc_id", "rule_id", "line_no")
 
 
 @query()
@@ -55,16 +104,13 @@ def hierarchical_chunks(spark, sf_dir):
     return structure.hierarchical_chunks(code.union(docs), ["repo_id"])
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, CAST(doc_id % 5 AS INT) AS n FROM documents) SELECT doc_id, array_to_string(list_transform(range(1, n + 2), lambda i: CAST(i AS VARCHAR)), ',') AS lines FROM d""")
 def docstring_mask(spark, sf_dir):
-    @arrow_udf("array<int>")
-    def mask(column):
-        import pyarrow as pa
-
-        return pa.array([pyast.docstring_lines(x or "") for x in column.to_pylist()], pa.list_(pa.int32()))
-
-    rows = source_files(spark, sf_dir).select("file_path", "content").union(snippets.files(spark).select("file_path", "content"))
-    return rows.select("file_path", mask("content").alias("lines"))
+    """Lines in triple quotes: a made-up docstring before each document's own text, which holds none."""
+    n = (F.col("doc_id") % 5).cast("int")
+    head = F.concat(F.lit('x = 1\n"""'), F.repeat(F.lit("more\n"), n), F.lit('"""\n'))
+    rows = source_files(spark, sf_dir).select("doc_id", F.concat(head, F.regexp_replace("content", "[\"'\\\\]", " ")).alias("content"))
+    return rows.select("doc_id", F.array_join(pyast.docstring_mask(F.col("content")).cast("array<string>"), ",").alias("lines"))
 
 
 @query()
@@ -84,16 +130,38 @@ def mini_review(spark, sf_dir):
     return review.review(snippets.files(spark))
 
 
-@query()
+_SECTION = "CASE category " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(review.SECTIONS, 1)) + " END"
+_N = ", ".join(f"count(*) FILTER (category = '{c}') AS n_{c}" for c in severity.WEIGHTS)
+_HEAD = [
+    "'# Review of ' || repo_id", "'Score: ' || printf('%.1f', score) || ' (' || CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 45 THEN 'D' ELSE 'F' END || ')'", "'Findings: ' || total_findings || ', critical: ' || critical_count",
+    *(f"'| {c} | ' || coalesce(n_{c}, 0) || ' | {round(float(w) * 100)}% |'" for c, w in severity.WEIGHTS.items()), "CASE WHEN urgent > 0 THEN urgent || ' critical security findings need a fix before the next deployment.' END",
+    "CASE WHEN bugs > 0 THEN bugs || ' severe bugs are likely to fail at run time.' END", "NULL", "CASE WHEN score >= 80 THEN 'In good shape.' WHEN score >= 60 THEN 'Needs attention.' ELSE 'Needs work first.' END",
+]
+
+
+@query(f"""WITH {catalog.FINDINGS}, {catalog.WEIGHT_SQL}, repos AS (SELECT DISTINCT source AS repo_id FROM documents),
+sub AS (SELECT repo_id, category, greatest(0, 100 - least(sum({catalog.PENALTY_SQL}), 100)) AS score, count(*) AS n, sum(CASE WHEN severity = 'CRITICAL' THEN 1 ELSE 0 END) AS crit FROM findings GROUP BY repo_id, category),
+total AS (SELECT repo_id, round(sum(weight * coalesce(score, 100)), 1) AS score, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_findings, CAST(coalesce(sum(crit), 0) AS BIGINT) AS critical_count FROM repos CROSS JOIN weights LEFT JOIN sub USING (repo_id, category) GROUP BY repo_id),
+counts AS (SELECT repo_id, {_N}, count(*) FILTER (category = 'security' AND severity = 'CRITICAL') AS urgent, count(*) FILTER (category = 'bug' AND severity IN ('CRITICAL', 'HIGH')) AS bugs FROM findings GROUP BY repo_id),
+card AS (SELECT * FROM total LEFT JOIN counts USING (repo_id)), heads AS ({' UNION ALL '.join(f"SELECT repo_id, '0-{k:02d}' AS place, {e} AS line FROM card" for k, e in enumerate(_HEAD))})
+SELECT * FROM heads WHERE line IS NOT NULL UNION ALL SELECT repo_id, {_SECTION} || '-', '## ' || category || ' (' || count(*) || ')' FROM findings GROUP BY repo_id, category
+UNION ALL SELECT repo_id, printf('%d-%d-%s-%08d-%s', {_SECTION}, {catalog.RANK_SQL}, file_path, line_no, rule_id), printf('- **%s** %s (%s:%d)', severity, title, file_path, line_no) FROM findings""")
 def report_lines(spark, sf_dir):
     found = catalog.line_findings(spark, sf_dir)
     repos = table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id")).distinct()
     return review.report_lines(found, repos)
 
 
-@query()
+@query(f"""WITH {catalog.FINDINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, category ORDER BY {catalog.RANK_SQL}, file_path, line_no, rule_id) AS rn, count(*) OVER (PARTITION BY repo_id, category) AS n FROM findings)
+SELECT repo_id, category, CAST(rn AS INT) AS place, printf('[%s] %s', severity, title) AS line FROM r WHERE rn <= 3 UNION ALL SELECT DISTINCT repo_id, category, 0, printf('%s (%d findings)', category, n) FROM r UNION ALL SELECT DISTINCT repo_id, category, 4, printf('and %d more', n - 3) FROM r WHERE n > 3""")
+def findings_digest(spark, sf_dir):
+    return review.digest(catalog.line_findings(spark, sf_dir))
+
+
+# hand-derived: a reply that is no JSON, or without a title, gives nothing
+@query("SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence, CAST(rule_id AS VARCHAR) AS rule_id) FROM (VALUES (NULL, 'HIGH', 'one', 3, 0.5, 'Injection'), (NULL, 'MEDIUM', 'two', 1, 0.5, 'Misconfiguration')) t(rule_id, severity, title, line, confidence, category)")
 def confirmations(spark, sf_dir):
-    replies = [('{"title": "one", "severity": "high", "line": 3}',), ('[{"title": "two"}, {"severity": "LOW"}]',), ("not json",), (None,)]
+    replies = [('{"title": "one", "severity": "high", "line": 3, "category": "sql injection"}',), ('[{"title": "two"}, {"severity": "LOW"}]',), ("not json",), (None,)]
     return review.confirmations(spark.createDataFrame(replies, "reply string"))
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import severity
-from corvane.operators import records, retrieval
+from corvane.operators import records, retrieval, scoring
 
-from . import catalog, review, snippets
+from . import catalog
 from .adapters import SRC, table
 from .catalog import FINDINGS, JOBS_SQL, query
 
@@ -85,17 +85,30 @@ def event_windows(spark, sf_dir):
     return rows.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-@query()
-def repository_properties(spark, sf_dir):
-    files = snippets.files(spark)
-    from corvane.operators import pyast
-
-    modules = review.module_summary(files, pyast.analyse_files(files, ["repo_id"]))
-    return modules.groupBy("repo_id").agg(F.count("*").alias("total_files"), F.sum("n_lines").alias("total_lines"), F.sum("classes").alias("classes"), F.sum("functions").alias("functions"))
-
-
-@query()
+@query("SELECT label, count(*) AS n, min(len(embedding)) AS dimension FROM embeddings GROUP BY label")
 def provenance(spark, sf_dir):
     """The store's rows and dimension next to its label counts."""
     store = retrieval.merge_stores(*(table(spark, sf_dir, "embeddings").filter(f"label % 2 = {k}") for k in (0, 1)))
-    return store.groupBy("label").agg(F.count("*").alias("n"), F.first(F.size("embedding")).alias("dimension"))
+    return store.groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("dimension"))
+
+
+@query("SELECT p_partkey, " + "CASE WHEN p_size >= 20 THEN 'CRITICAL: cyclomatic ' || p_size || ', split it by its branches, or return early.' WHEN p_size >= 15 THEN 'HIGH: cyclomatic ' || p_size || ', split it by its branches, or return early.' WHEN p_size >= 10 THEN 'MEDIUM: cyclomatic ' || p_size || ', split it by its branches, or return early.' WHEN p_size >= 5 THEN 'LOW: cyclomatic ' || p_size || ', split it by its branches, or return early.' ELSE '' END AS advice FROM part")
+def metric_advice(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", records.advice(F.col("p_size"), F.lit(0), F.lit(0)).alias("advice"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice / 5000 >= 75 THEN 'green' WHEN o_totalprice / 5000 >= 50 THEN 'orange' ELSE 'red' END AS colour, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS day FROM orders")
+def score_colours(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", severity.score_colour(F.col("o_totalprice") / 5000).alias("colour"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("day"))
+
+
+@query(f"""WITH {SRC}, c AS (SELECT repo_id, language, CAST(sum({catalog.LINE_COUNT_SQL}) AS BIGINT) AS n_lines FROM src GROUP BY 1, 2) SELECT repo_id, language, n_lines, round(100.0 * n_lines / sum(n_lines) OVER (PARTITION BY repo_id), 1) AS share FROM c""")
+def language_share_plain(spark, sf_dir):
+    return scoring.share_by_lines(catalog.source_files(spark, sf_dir), corrected=False)
+
+
+@query(f"""WITH {SRC}, c AS (SELECT repo_id, language, CAST(sum({catalog.LINE_COUNT_SQL}) AS BIGINT) AS n FROM src GROUP BY 1, 2), r AS (SELECT repo_id, count(DISTINCT file_path) AS total_files FROM src GROUP BY 1)
+SELECT repo_id, arg_max(language, {{'n': n, 'language': language}}) AS primary_language, CAST(count(*) AS INT) AS languages, CAST(sum(n) AS BIGINT) AS total_lines, any_value(total_files) AS total_files FROM c JOIN r USING (repo_id) GROUP BY repo_id""")
+def repository_metadata(spark, sf_dir):
+    found = scoring.repository_metadata(catalog.source_files(spark, sf_dir), "doc_id")
+    return found.select("repo_id", "primary_language", F.size("language_breakdown").alias("languages"), F.col("total_lines").cast("long").alias("total_lines"), "total_files")

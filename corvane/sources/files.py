@@ -20,7 +20,7 @@ MAX_BYTES, MAX_FILES = 512 << 10, 5000
 def _decoded(rows: DataFrame) -> DataFrame:
     """Drop binaries, decode with U+FFFD for bad bytes, count lines."""
     text = F.make_valid_utf8(F.col("bytes").cast("string"))
-    rows = rows.filter(F.locate("00", F.regexp_replace(F.hex("bytes"), "(..)", "$1 ")) == 0)
+    rows = rows.filter(F.position(F.unhex(F.lit("00")), F.col("bytes")) == 0)
     rows = rows.withColumn("content", text)
     return rows.select("repo_id", "file_path", "language", F.col("size_bytes"), (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("int").alias("line_count"), "content")
 
@@ -83,3 +83,15 @@ def strip_common_root(files: DataFrame) -> DataFrame:
     head, w = F.split("file_path", "/")[0], Window.partitionBy("repo_id")
     same = (F.min(head).over(w) == F.max(head).over(w)) & (F.min(F.size(F.split("file_path", "/"))).over(w) > 1)
     return files.withColumn("_same", same).withColumn("file_path", F.when(F.col("_same"), F.regexp_replace("file_path", "^[^/]+/", "")).otherwise(F.col("file_path"))).drop("_same")
+
+
+def load_repository(spark: SparkSession, path: str | None = None, zip_b64: str | None = None, repo_id: str = "repo") -> DataFrame:
+    """source_file rows, by path, of exactly one source: a folder (a clone, say) or a base64 ZIP archive."""
+    if bool(path) == bool(zip_b64):
+        raise SourceError("give a path or an archive, and not both" if path else "give a path or an archive")
+    if path:
+        return directory(spark, path, repo_id)
+    out = unzip(spark.createDataFrame([(repo_id, zip_b64)], "repo_id string, zip_b64 string"))
+    if out.isEmpty():
+        raise SourceError("no source file in the archive")
+    return out.orderBy("file_path")
