@@ -128,7 +128,8 @@ def shingles(w: Words, size: int, whole_if_short: bool = True) -> tuple[np.ndarr
     """
     total = len(w.hash)
     position = np.arange(total) - w.first[w.doc]
-    keys = [U64((_ODD * (2 * j + 3)) & _MASK) for j in range(size)]
+    # unrelated odd factors: with evenly spaced ones, "a b b a" and "b a a b" would get one hash
+    keys = mix(np.arange(1, size + 1, dtype=U64) * U64(_ODD)) | U64(1)
     take = np.flatnonzero(position + size <= w.counts[w.doc]) if total else np.zeros(0, np.int64)
     h = np.full(len(take), U64(size))
     for j in range(size):
