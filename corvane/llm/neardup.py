@@ -8,9 +8,10 @@
 3. Banding: slots are cut into bands, a band's hash is a bucket.
 4. Verification on full shingle sets. Each bucket compares its members with one pivot. Members
    left in different components are compared further: first with the group's most shared member,
-   then pair by pair, leaving out pairs of one component and pairs whose sets provably cannot
-   reach the threshold (bound below). No group is gathered and no link between different
-   components is skipped.
+   then those that share a shingle among the rarest of both (prefix filter: sets at the threshold
+   must), leaving out pairs of one component and pairs whose sets provably cannot reach the
+   threshold (bound below). No group is gathered and no link between different components is
+   skipped.
 5. Union-find grouping of the verified links (components.py).
 
 Bound: let P be the pivot, and for a member X let s(X) = |X & P| + the number of X's shingles
@@ -137,6 +138,35 @@ def _verifier(size: int, percent: int) -> Callable:
     return verify
 
 
+def _lister(size: int) -> Callable:
+    """(x, hs): the set of each text of (id, text)."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for i, j in spans(offsets):
+                h, doc, _ = shingles(words(data, offsets[i : j + 1]), size)
+                h, counts = distinct(h, doc, j - i)
+                cut = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))], ["x", "hs"])
+
+    return listed
+
+
+def _prefixes(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """members (x, nx, c) with a row for each of their rarest shingles h, so many that two sets at the threshold share one.
+
+    Sets that share percent/100 of the larger one cannot miss each other in the first
+    n - ceil(n * percent / 100) + 1 shingles of any common order; here the rarest among members come first.
+    """
+    sets = texts.join(members.select(F.col("x").alias("id")), "id", "left_semi").select("id", "text").mapInArrow(_lister(size), "x long, hs array<long>")
+    each = materialize(sets.select("x", F.explode("hs").alias("h")), "each")
+    often = each.groupBy("h").agg(F.count("*").alias("k"))
+    ranked = each.join(often, "h").groupBy("x").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("l"))
+    first = F.slice("l", F.lit(1), (F.col("nx") - F.ceil(F.col("nx") * percent / 100 - 1e-6) + 1).cast("int"))
+    return ranked.join(members, "x").select("x", "nx", "c", F.inline(first)).filter("k > 1").drop("k")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """pairs (p, x) with both texts' exact overlap."""
     ids = materialize(pairs.select(F.explode(F.array("p", "x")).alias("id")).distinct(), f"{name}-ids")
@@ -232,8 +262,18 @@ def _open_links(checked: DataFrame, comps: DataFrame, texts: DataFrame, size: in
     for last in (False, False, True):
         crowd = able.groupBy("p").agg(F.countDistinct("c").alias("cs"), F.max(F.struct((F.col("s") / F.col("nx")).alias("q"), -F.col("x"))).alias("best")).filter("cs > 1").select("p", F.col("best.col2").alias("minus"))
         if last:
-            a, b = able.alias("a"), able.alias("b")
-            pairs = a.join(b, (F.col("a.p") == F.col("b.p")) & F.expr("a.c <> b.c and a.x < b.x") & viable).select(F.col("a.x").alias("p"), F.col("b.x").alias("x"))
+            left = able.join(crowd.select("p"), "p", "left_semi")
+            keyed = materialize(_prefixes(left.select("x", "nx", "c").distinct(), texts, size, percent), "prefixes")
+            a, b = keyed.alias("a"), keyed.alias("b")
+            near = (F.least("a.nx", "b.nx") * 100 >= F.greatest("a.nx", "b.nx") * percent) & F.expr("a.c <> b.c and a.x < b.x")
+            pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & near).select(F.col("a.x").alias("p"), F.col("b.x").alias("x")).distinct()
+            # the bound of the first group that both are in
+            known = left.groupBy("x").agg(F.first("nx").alias("nx"), F.first("ps").alias("ps"), F.map_from_entries(F.collect_list(F.struct("p", F.struct("common", "r")))).alias("of"))
+            both = pairs.join(known.select(F.col("x").alias("p"), F.struct("nx", "ps", "of").alias("a")), "p").join(known.select("x", F.struct("nx", "ps", "of").alias("b")), "x")
+            group = F.array_min(F.array_intersect("a.ps", "b.ps"))
+            both = both.withColumn("i", F.col("a.of")[group]).withColumn("j", F.col("b.of")[group])
+            most = F.least("i.common", "j.common") + F.least("i.r", "j.r")
+            pairs = both.filter((1 + t) * most >= t * (F.col("a.nx") + F.col("b.nx")) - 1e-6).select("p", "x")
         else:
             a, b = able.alias("a"), able.join(crowd, "p").filter(F.col("x") == -F.col("minus")).alias("b")
             pairs = a.join(b, (F.col("a.p") == F.col("b.p")) & F.expr("a.c <> b.c") & viable).select(F.least("a.x", "b.x").alias("p"), F.greatest("a.x", "b.x").alias("x"))

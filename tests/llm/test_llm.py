@@ -112,21 +112,33 @@ def test_near_duplicates_agree_with_brute_force(docs, rows):
     assert got == brute_groups(rows, 4)
 
 
-def test_near_duplicates_of_one_crowded_family(spark):
-    """Copies edited lightly to heavily, so that a bucket's pivot links only some of its members."""
+@pytest.mark.parametrize("pool,places,least,most", [(10**6, 150, 0, 11), (2, 20, 6, 14), (3, 150, 4, 12)])
+def test_near_duplicates_of_one_crowded_family(spark, pool, places, least, most):
+    """Copies edited lightly to heavily, so that a bucket's pivot links only some of its members; edits of their own or shared ones."""
     rng = random.Random(5)
     base = [f"w{i}" for i in range(150)]
     texts = []
     for i in range(220):
         w = list(base)
-        for k in rng.sample(range(150), rng.randrange(12)):
-            w[k] = f"e{rng.randrange(10**6)}"
+        for k in rng.sample(range(places), rng.randrange(least, most + 1)):
+            w[k] = f"e{rng.randrange(pool)}"
         texts.append((i, " ".join(w)))
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame, shingle_words=4).collect()}
     assert got == brute_groups(texts, 4)
 
 
+@pytest.mark.parametrize("size", [3, 4, 5])
+def test_shingles_of_the_same_words_differ_by_their_order(size):
+    """Every sequence of two or three words has a hash of its own, also mirrored ones such as a b b a and b a a b."""
+    from itertools import product
+
+    runs = [" ".join(x) for x in product("abc", repeat=size)]
+    data = np.frombuffer("".join(runs).encode(), np.uint8)
+    at = np.cumsum([0] + [len(r) for r in runs])
+    assert len(np.unique(blocks.shingles(blocks.words(data, at), size)[0])) == len(runs)
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Rows are documents of their own: no text vanishes whose set no kept row holds."""
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
