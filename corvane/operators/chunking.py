@@ -76,14 +76,14 @@ def merge_ranges(ranges: DataFrame, keys: list[str], start: str = "start_line",
 def uncovered_lines(totals: DataFrame, merged: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_uncovered, first_line, last_line) of the lines 1..n_lines outside the merged ranges; (1, 1) if none.
 
-    Computed from range bounds; lines are not unfolded.
+    Aggregated from range bounds, with map-side combine; no lines are unfolded and no ranges gathered.
     """
-    parts = merged.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line"))).alias("r"))
-    joined = totals.join(parts, keys, "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<start_line:int,end_line:int>>")))
-    n = F.col("n_lines")
-    inside = F.filter(F.transform("r", lambda x: F.struct(F.greatest(x["start_line"], F.lit(1)).alias("s"), F.least(x["end_line"], n).alias("e"))), lambda x: x["e"] >= x["s"])
-    covered = F.aggregate(inside, F.lit(0), lambda acc, x: acc + (x["e"] - x["s"] + 1).cast("int"))
-    first = F.aggregate(inside, F.lit(1), lambda acc, x: F.when(x["s"] == acc, x["e"] + 1).otherwise(acc).cast("int"))
-    last = F.aggregate(F.reverse(inside), n.cast("int"), lambda acc, x: F.when(x["e"] == acc, x["s"] - 1).otherwise(acc).cast("int"))
-    left = (n - covered).cast("int")
-    return joined.select(*keys, left.alias("n_uncovered"), F.when(left > 0, first).otherwise(1).alias("first_line"), F.when(left > 0, last).otherwise(1).alias("last_line"))
+    n = F.col("n_lines").cast("int")
+    low, high = F.greatest("start_line", F.lit(1)), F.least("end_line", n)
+    inside = totals.join(merged, keys, "left").withColumn("_n", n).withColumn("_s", F.when(high >= low, low)).withColumn("_e", F.when(high >= low, high))
+    # merged ranges do not touch, so only the range at line 1 moves the first line and the one at line n the last
+    out = inside.groupBy(*keys, "_n").agg(
+        F.coalesce(F.sum(F.col("_e") - F.col("_s") + 1), F.lit(0)).alias("covered"), F.coalesce(F.max(F.when(F.col("_s") == 1, F.col("_e") + 1)), F.lit(1)).alias("first"), F.min(F.when(F.col("_e") == F.col("_n"), F.col("_s") - 1)).alias("last")
+    )
+    left = (F.col("_n") - F.col("covered")).cast("int")
+    return out.select(*keys, left.alias("n_uncovered"), F.when(left > 0, F.col("first")).otherwise(1).cast("int").alias("first_line"), F.when(left > 0, F.coalesce("last", "_n")).otherwise(1).cast("int").alias("last_line"))
