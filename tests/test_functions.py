@@ -102,6 +102,13 @@ def test_ranges(spark):
     assert got == {"a": (0, 1, 1), "b": (5, 1, 6), "c": (2, 1, 2)}
 
 
+def test_uncovered_lines_without_ranges_inside(spark):
+    totals = spark.createDataFrame([("none", 7), ("beyond", 3), ("empty", 0), ("part", 5)], "f string, n_lines int")
+    merged = spark.createDataFrame([("beyond", 4, 9), ("part", 2, 9)], "f string, start_line int, end_line int")
+    got = {r.f: (r.n_uncovered, r.first_line, r.last_line) for r in chunking.uncovered_lines(totals, merged, ["f"]).collect()}
+    assert got == {"none": (7, 1, 7), "beyond": (3, 1, 3), "empty": (0, 1, 1), "part": (1, 1, 1)}
+
+
 def test_proximity_and_order(spark):
     rows = spark.createDataFrame([("k", x) for x in (30, 1, 4, 6, 7, 12, 13)], "k string, line int")
     assert sorted(r.line for r in dedup.proximity(rows, ["k"], "line").collect()) == [1, 7, 13, 30]
