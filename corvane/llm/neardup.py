@@ -6,17 +6,19 @@
    stops as soon as every slot holds a value below the next rank.
 2. Documents with equal shingle sets form one class; only a class's smallest id goes on.
 3. Banding: slots are cut into bands, a band's hash is a bucket.
-4. Verification on full shingle sets. Each bucket compares its members with one pivot. Members
-   left in different components are compared further: first with the group's most shared member,
-   then those that share a shingle among the rarest of both (prefix filter: sets at the threshold
-   must), leaving out pairs of one component and pairs whose sets provably cannot reach the
-   threshold (bound below). No group is gathered and no link between different components is
-   skipped.
+4. Verification on full shingle sets. Each bucket compares its members with one pivot. A group in
+   which members are left in different components goes on relative to its majority set (below):
+   all are compared with its hub, those outside the hub's component with a hub of their own, and
+   what is still apart only where two members deviate from the majority in the same shingles. No
+   group is gathered and no link between different components is skipped.
 5. Union-find grouping of the verified links (components.py).
 
-Bound: let P be the pivot, and for a member X let s(X) = |X & P| + the number of X's shingles
-outside P that another member of P's group also has outside P, r(X). Then |X & Y| <=
-min(|X & P|, |Y & P|) + min(r(X), r(Y)) for all members X, Y, and J(X, Y) >= t needs (1 + t) * |X & Y| >= t * (|X| + |Y|).
+Majority set: for any set M let L(X) = M - X, A(X) = X - M and d(X) = L(X) + A(X). Then
+|X & Y| = |M| - |L(X)| - |L(Y)| + |d(X) & d(Y)|, so that J(X, Y) >= q/100 is the same as
+(100 + q) |d(X) & d(Y)| >= w(X) + w(Y) - (100 - q) |M|, with w(X) = 100 |L(X)| + q |A(X)|. Let H be the
+member of least w. A member Y that is not linked with H has w(Y) + w(H) > (100 - q) |M|, so whoever
+links with Y, X, has (100 + q) |d(X) & d(Y)| > w(X) - w(H): about half of X's deviations are Y's too.
+Members that deviate by edits of their own are thus left out without being paired.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import U64, distinct, mix, shingles, spans, text_buffers, words
@@ -107,7 +109,7 @@ def _signer(size: int, bands: int, rows: int) -> Callable:
 
 
 def _verifier(size: int, percent: int) -> Callable:
-    """Exact overlap of the sets of two texts per row; `rest`: hashes of x outside p, which the bound above needs of linked members as well."""
+    """Exact overlap of the sets of two texts per row; `rest`: hashes of x outside p, `miss`: of p outside x, which the steps above need of linked members as well."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,58 +124,32 @@ def _verifier(size: int, percent: int) -> Callable:
                 (hp, ep), (hx, ex) = sets
                 common = np.zeros(j - i, np.int64)
                 rest: list[np.ndarray] = []
+                miss: list[np.ndarray] = []
                 for k in range(j - i):
                     a, b = hp[ep[k] : ep[k + 1]], hx[ex[k] : ex[k + 1]]
                     spot = np.searchsorted(a, b)
                     hit = a[np.minimum(spot, len(a) - 1)] == b if len(a) else np.zeros(len(b), bool)
                     common[k] = hit.sum()
                     rest.append(b[~hit])
+                    gone = np.ones(len(a), bool)
+                    gone[spot[hit]] = False
+                    miss.append(a[gone])
                 np_, nx = np.diff(ep), np.diff(ex)
                 linked = 100 * common >= percent * (np_ + nx - common)
-                cut = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(rest).view(np.int64)))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in part])]).astype(np.int32)), pa.array(np.concatenate(part).view(np.int64))) for part in (rest, miss)]
                 head = [batch.column(c).slice(i, j - i) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*head, *(pa.array(v) for v in (np_, nx, common, linked)), lists], ["p", "x", "np", "nx", "common", "linked", "rest"])
+                yield pa.RecordBatch.from_arrays([*head, *(pa.array(v) for v in (np_, nx, common, linked)), *lists], ["p", "x", "np", "nx", "common", "linked", "rest", "miss"])
 
     return verify
 
 
-def _lister(size: int) -> Callable:
-    """(x, hs): the set of each text of (id, text)."""
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for i, j in spans(offsets):
-                h, doc, _ = shingles(words(data, offsets[i : j + 1]), size)
-                h, counts = distinct(h, doc, j - i)
-                cut = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))], ["x", "hs"])
-
-    return listed
-
-
-def _prefixes(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """members (x, nx, c) with a row for each of their rarest shingles h, so many that two sets at the threshold share one.
-
-    Sets that share percent/100 of the larger one cannot miss each other in the first
-    n - ceil(n * percent / 100) + 1 shingles of any common order; here the rarest among members come first.
-    """
-    sets = texts.join(members.select(F.col("x").alias("id")), "id", "left_semi").select("id", "text").mapInArrow(_lister(size), "x long, hs array<long>")
-    each = materialize(sets.select("x", F.explode("hs").alias("h")), "each")
-    often = each.groupBy("h").agg(F.count("*").alias("k"))
-    ranked = each.join(often, "h").groupBy("x").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("l"))
-    first = F.slice("l", F.lit(1), (F.col("nx") - F.ceil(F.col("nx") * percent / 100 - 1e-6) + 1).cast("int"))
-    return ranked.join(members, "x").select("x", "nx", "c", F.inline(first)).filter("k > 1").drop("k")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """pairs (p, x) with both texts' exact overlap."""
     ids = materialize(pairs.select(F.explode(F.array("p", "x")).alias("id")).distinct(), f"{name}-ids")
     few = ids.count() <= BROADCAST_IDS
     some = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     joined = pairs.join(some.withColumnsRenamed({"id": "p", "text": "p_text"}), "p").join(some.withColumnsRenamed({"id": "x", "text": "x_text"}), "x")
-    out = joined.select("p", "x", "p_text", "x_text").mapInArrow(_verifier(size, percent), "p long, x long, np long, nx long, common long, linked boolean, rest array<long>")
+    out = joined.select("p", "x", "p_text", "x_text").mapInArrow(_verifier(size, percent), "p long, x long, np long, nx long, common long, linked boolean, rest array<long>, miss array<long>")
     return materialize(out, name)
 
 
@@ -223,7 +199,7 @@ def _components(texts: DataFrame, shingle_words: int, percent: int, bands: int,
 
     links = checked.filter("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))
     comps = materialize(connected_components(links), "comps")
-    extra = _open_links(checked, comps, texts, shingle_words, percent)
+    extra = _open_links(checked, comps, percent)
     if extra is not None:
         links = links.union(extra)
         comps = materialize(connected_components(links), "comps")
@@ -233,11 +209,36 @@ def _components(texts: DataFrame, shingle_words: int, percent: int, bands: int,
     return out.union(signed.filter("n = 0").select("id", "n", F.col("id").alias("component")))
 
 
-def _open_links(checked: DataFrame, comps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+def _centred(members: DataFrame, percent: int) -> DataFrame:
+    """members (p, x, np, rest, miss, ...) with diff, weight and room relative to their group's majority set, and the group's hub.
+
+    The majority set M differs from p's set by the shingles that more than half of the members change.
+    diff lists the shingles in just one of x's set and M, weight is 100 |M - x| + percent |x - M|, room is
+    (100 - percent) |M|; the hub is the member of least weight, ties by id. Links are then decided by
+    `_shared` (see the module's text).
+    """
+    mark = lambda col, extra: F.transform(col, lambda h: F.struct(h.alias("h"), F.lit(extra).alias("extra")))
+    marks = members.select("p", F.inline(F.concat(mark("rest", True), mark("miss", False))))
+    sizes = members.groupBy("p").agg(F.count("*").alias("of"))
+    usual = marks.groupBy("p", "h", "extra").agg(F.count("*").alias("k")).join(sizes, "p").filter("2 * k > of")
+    usual = usual.groupBy("p").agg(F.collect_list(F.expr("if(extra, h, null)")).alias("more"), F.collect_list(F.expr("if(extra, null, h)")).alias("less"))
+    none = F.array().cast("array<long>")
+    rows = members.join(usual, "p", "left").withColumns({"more": F.coalesce("more", none), "less": F.coalesce("less", none)})
+    rows = rows.withColumn("lacks", F.concat(F.array_except("miss", "less"), F.array_except("more", "rest"))).withColumn("adds", F.concat(F.array_except("rest", "more"), F.array_except("less", "miss")))
+    rows = rows.select("p", "x", "c", "ps", F.concat("lacks", "adds").alias("diff"), (100 * F.size("lacks") + percent * F.size("adds")).alias("weight"), ((100 - percent) * (F.col("np") - F.size("less") + F.size("more"))).alias("room"))
+    rows = materialize(rows, "centred")
+    return rows.join(rows.groupBy("p").agg(F.min(F.struct("weight", "x", "diff")).alias("hub")), "p")
+
+
+def _shared(a: str, b: str, percent: int) -> Column:
+    """Whether the members a and b (structs or aliases) of one group are linked."""
+    return (100 + percent) * F.size(F.array_intersect(f"{a}diff", f"{b}diff")) >= F.col(f"{a}weight") + F.col(f"{b}weight") - F.col(f"{a}room")
+
+
+def _open_links(checked: DataFrame, comps: DataFrame, percent: int) -> DataFrame | None:
     """Links (u, v) between members of a pivot's group that lie in different components so far."""
-    t = percent / 100
-    groups = _labelled(checked.select("p", "x", "nx", "common", "rest"), comps)
-    head = _labelled(checked.groupBy("p").agg(F.first("np").alias("nx")).select("p", F.col("p").alias("x"), "nx"), comps)
+    groups = _labelled(checked.select("p", "x", "np", "nx", "common", "rest", "miss"), comps)
+    head = _labelled(checked.select("p").distinct().select("p", F.col("p").alias("x")), comps)
     # a group is open if a member that is not in the pivot's component could still link to another member;
     # the groups are summed up before they meet their pivots, so that a large one stays in many tasks
     spread = groups.groupBy("p").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).filter("k > 1")
@@ -248,48 +249,57 @@ def _open_links(checked: DataFrame, comps: DataFrame, texts: DataFrame, size: in
     groups = materialize(groups.join(open_groups, "p"), "groups")
     shared = groups.select("p", F.explode("rest").alias("h")).groupBy("p", "h").agg(F.count("*").alias("k")).filter("k > 1").select("p", "h")
     also = groups.select("p", "x", F.explode("rest").alias("h")).join(shared, ["p", "h"]).groupBy("p", "x").agg(F.count("*").alias("r"))
-    # a pair that shares several groups is made in the first of them only; every group's bound holds for it
-    all_of_x = groups.groupBy("x").agg(F.collect_set("p").alias("ps"))
-    able = groups.select("p", "x", "nx", "common", "c").join(also, ["p", "x"], "left").withColumn("r", F.coalesce("r", F.lit(0))).withColumn("s", F.col("common") + F.col("r"))
-    # x itself bounds its partners: (1 + t) s(x) >= t (|x| + |y|) and |y| >= t |x|
-    able = able.filter((1 + t) * F.col("s") >= t * (1 + t) * F.col("nx") - 1e-6).join(all_of_x, "x")
-    able = materialize(able.select("p", "x", "nx", "common", "r", "s", "c", "ps"), "able")
-    most = F.least("a.common", "b.common") + F.least("a.r", "b.r")
-    viable = ((1 + t) * most >= t * (F.col("a.nx") + F.col("b.nx")) - 1e-6) & (F.array_min(F.array_intersect("a.ps", "b.ps")) == F.col("a.p"))
-
-    links = None
-    done: DataFrame | None = None
-    for last in (False, False, True):
-        crowd = able.groupBy("p").agg(F.countDistinct("c").alias("cs"), F.max(F.struct((F.col("s") / F.col("nx")).alias("q"), -F.col("x"))).alias("best")).filter("cs > 1").select("p", F.col("best.col2").alias("minus"))
-        if last:
-            left = able.join(crowd.select("p"), "p", "left_semi")
-            keyed = materialize(_prefixes(left.select("x", "nx", "c").distinct(), texts, size, percent), "prefixes")
-            a, b = keyed.alias("a"), keyed.alias("b")
-            near = (F.least("a.nx", "b.nx") * 100 >= F.greatest("a.nx", "b.nx") * percent) & F.expr("a.c <> b.c and a.x < b.x")
-            pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & near).select(F.col("a.x").alias("p"), F.col("b.x").alias("x")).distinct()
-            # the bound of the first group that both are in
-            known = left.groupBy("x").agg(F.first("nx").alias("nx"), F.first("ps").alias("ps"), F.map_from_entries(F.collect_list(F.struct("p", F.struct("common", "r")))).alias("of"))
-            both = pairs.join(known.select(F.col("x").alias("p"), F.struct("nx", "ps", "of").alias("a")), "p").join(known.select("x", F.struct("nx", "ps", "of").alias("b")), "x")
-            group = F.array_min(F.array_intersect("a.ps", "b.ps"))
-            both = both.withColumn("i", F.col("a.of")[group]).withColumn("j", F.col("b.of")[group])
-            most = F.least("i.common", "j.common") + F.least("i.r", "j.r")
-            pairs = both.filter((1 + t) * most >= t * (F.col("a.nx") + F.col("b.nx")) - 1e-6).select("p", "x")
-        else:
-            a, b = able.alias("a"), able.join(crowd, "p").filter(F.col("x") == -F.col("minus")).alias("b")
-            pairs = a.join(b, (F.col("a.p") == F.col("b.p")) & F.expr("a.c <> b.c") & viable).select(F.least("a.x", "b.x").alias("p"), F.greatest("a.x", "b.x").alias("x"))
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["p", "x"], "left_anti")
-        pairs = materialize(pairs, "more")
-        if pairs.isEmpty():
-            if last:
-                break
-            continue
-        done = pairs if done is None else done.union(pairs)
-        found = _verified(pairs, texts, size, percent, "found").filter("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))
-        links = found if links is None else links.union(found)
-        if not last:
-            before = able.select(F.col("c").alias("u"), F.col("x").alias("v")).distinct()
-            merged = connected_components(before.union(links))
-            able = materialize(_labelled(able.drop("c"), merged), "able")
-    return links
+    # a pair that shares several groups is made in the first of them only; what one group proves holds for it
+    all_of_x = groups.groupBy("x").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    # x shares at most common + r shingles with any other member, and a link needs percent of x's
+    able = groups.join(also, ["p", "x"], "left").filter(100 * (F.col("common") + F.coalesce("r", F.lit(0))) >= percent * F.col("nx")).join(all_of_x, "x")
+    able = materialize(able.select("p", "x", "np", "rest", "miss", "c", "ps"), "able")
+
+    links: DataFrame | None = None
+    part, centred = _crowded(able), None
+    for _ in range(2):  # hubs of whole groups, then of those outside the hub's component
+        rows = _centred(part, percent)
+        centred = rows if centred is None else centred
+        star = materialize(rows.filter("x <> hub.x").filter(_shared("", "hub.", percent)).select(F.col("hub.x").alias("u"), F.col("x").alias("v")), "star")
+        links = star if links is None else links.union(star)
+        merged = materialize(connected_components(able.select(F.col("c").alias("u"), F.col("x").alias("v")).distinct().union(links)), "merged")
+        hubs = _labelled(centred.select("p", F.col("hub.x").alias("x")).distinct(), merged).select("p", F.col("c").alias("hub_c"))
+        part = _crowded(_labelled(part.drop("c"), merged).join(hubs, "p").filter("c <> hub_c").drop("hub_c"))
+
+    rows = _labelled(centred.drop("c"), merged).join(hubs, "p").withColumn("out", F.expr("c <> hub_c"))
+    some_out = rows.groupBy("p").agg(F.max("out").alias("any")).filter("any").select("p")
+    # the hub is compared with all
+    rows = materialize(rows.filter("x <> hub.x").join(some_out, "p").withColumn("least", F.col("hub.weight")).drop("hub", "hub_c"), "rows")
+    keyed = _keyed(rows, percent)
+    a, b = keyed.filter("out").alias("a"), keyed.filter("strong").alias("b")
+    near = F.expr("a.p = b.p and a.h = b.h and a.c <> b.c and a.weight <= b.reach and b.weight <= a.reach and (not b.out or a.strong and a.x < b.x)")
+    pairs = a.join(b, near & (F.array_min(F.array_intersect("a.ps", "b.ps")) == F.col("a.p"))).select("a.p", F.col("a.x").alias("u"), F.col("b.x").alias("v")).distinct()
+    sets = rows.select("p", F.col("x"), F.struct("diff", "weight", "room").alias("s"))
+    both = materialize(pairs, "pairs").join(sets.withColumnsRenamed({"x": "u", "s": "i"}), ["p", "u"]).join(sets.withColumnsRenamed({"x": "v", "s": "j"}), ["p", "v"])
+    return links.union(materialize(both.filter(_shared("i.", "j.", percent)).select("u", "v"), "found"))
+
+
+def _crowded(members: DataFrame) -> DataFrame:
+    """The members of groups p in which more than one component is left."""
+    crowd = members.groupBy("p").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("p")
+    return materialize(members.join(crowd, "p", "left_semi"), "crowd")
+
+
+def _keyed(rows: DataFrame, percent: int) -> DataFrame:
+    """rows without diff, one for each shingle h of it by which a linked member of another component is found.
+
+    Members that share k shingles of their diffs are found by one of the first size - k + 1 of each in
+    any common order: unshared ones, then the rarest. For every partner y, (100 + percent) * k >= weight +
+    weight(y) - room, where weight(y) is at least both the group's least and percent * k. One of a pair
+    of different components is outside the hub's one; the other (strong) shares (100 + percent) * k >
+    weight - least. reach: the greatest weight of a partner that shares no shingle before h.
+    """
+    each = rows.select("p", "x", "c", F.explode("diff").alias("h"))
+    often = each.groupBy("p", "h").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("p", "h", "k")
+    ranked = each.drop("c").join(often, ["p", "h"]).groupBy("p", "x").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("l"))
+    n, q, w, least, room = F.size("l"), 100 + percent, F.col("weight"), F.col("least"), F.col("room")
+    share = F.greatest(F.lit(1), F.ceil((w + least - room) / q), F.ceil((w - room) / 100))
+    wide = rows.join(ranked, ["p", "x"]).select("p", "x", "c", "ps", "weight", "out", "room", n.alias("n"), share.alias("share"), F.ceil((w - least + 1) / q).alias("more"), F.posexplode("l").alias("i", "e"))
+    left = F.col("n") - F.col("i")
+    wide = wide.filter(left >= F.col("share")).withColumn("strong", left >= F.col("more")).filter("out or strong")
+    return materialize(wide.select("p", "x", "c", "ps", "weight", "out", (q * left - w + room).alias("reach"), "strong", F.col("e.h").alias("h")), "keyed")

@@ -128,6 +128,23 @@ def test_near_duplicates_of_one_crowded_family(spark, pool, places, least, most)
     assert got == brute_groups(texts, 4)
 
 
+def test_a_crowded_family_is_not_paired(spark, monkeypatch):
+    """Copies with edits of their own: what is compared in the last steps follows their number, not its square."""
+    made = []
+    monkeypatch.setattr(neardup, "materialize", lambda df, name, write=neardup.materialize: made.append((name, table := write(df, name))) or table)
+    rng, texts = random.Random(7), []
+    for i in range(300):
+        w = [f"w{k}" for k in range(150)]
+        for k in rng.sample(range(150), rng.randrange(3, 9)):
+            w[k] = f"e{i}x{k}"
+        texts.append((i, " ".join(w)))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame, shingle_words=4).collect()}
+    assert got == brute_groups(texts, 4)
+    pairs = {name: table.count() for name, table in made if name in ("more", "pairs")}
+    assert pairs and sum(pairs.values()) <= 3 * len(texts)
+
+
 @pytest.mark.parametrize("size", [3, 4, 5])
 def test_shingles_of_the_same_words_differ_by_their_order(size):
     """Every sequence of two or three words has a hash of its own, also mirrored ones such as a b b a and b a a b."""
