@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 from typing import Any
 
@@ -16,26 +16,15 @@ from pyspark.sql.functions import arrow_udf
 
 from corvane.errors import RetrievalError, StoreError
 
+from .nearest import Nearest
+
 OVERFETCH = 5
-#: Query sets up to this number of rows are broadcast whole; larger ones are dealt into blocks that are each broadcast.
-MAX_QUERIES = 4096
+#: Query sets up to this number of rows are sent to the tasks whole; larger ones are dealt into blocks.
+MAX_QUERIES = 32_768
+FEW_QUERIES, LEAST_TASKS = 256, 16
 DIMENSION = 384
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    """Squared L2 distance of two float arrays, summed in double."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def relevance(a: Column, b: Column) -> Column:
-    """Cosine similarity; for unit vectors 1 - d*d/2."""
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def hash_embed(text: Column, dimension: int = DIMENSION) -> Column:
     """A deterministic embedding without a model: hashed words with signs, L2-normalised; blank texts count as one blank."""
 
@@ -55,32 +44,54 @@ def hash_embed(text: Column, dimension: int = DIMENSION) -> Column:
     return embed(text)
 
 
-def _in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """answer(block) of every block of queries, each marked for broadcast.
+def _nearest(store: DataFrame, queries: DataFrame, k: int, cosine: bool, id_col: str, vector: str, skip_self: bool = False) -> DataFrame:
+    """Columns of store but its vectors, query_id, _score: each task's k best rows of every query, of rows with as many elements.
 
-    Rows of one query_id share a block, so that a ranking by query_id within answer is whole.
+    Every block of queries is sent to all tasks and answered by a pass over the store. Rows of one
+    query_id share a block. The store is dealt out evenly first if there are many queries, as the work is then
+    in the pairs.
     """
-    n = queries.count()
+    spark = store.sparkSession
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"))
+    n = asked.count()
     blocks = 1 if n <= MAX_QUERIES else -(-2 * n // MAX_QUERIES)  # half full on average, as a hash deals unevenly
+    rows = store.select(F.struct(*[c for c in store.columns if c != vector]).alias("s"), F.col(id_col).alias("i"), F.col(vector).alias("v"))
+    schema = f"s {rows.schema['s'].dataType.simpleString()}, query_id {asked.schema['query_id'].dataType.simpleString()}, _score double"
+    if n > FEW_QUERIES:
+        rows = rows.repartition(max(spark.sparkContext.defaultParallelism, LEAST_TASKS))
+
+    def answer(part: DataFrame) -> DataFrame:
+        held = spark.sparkContext.broadcast(_as_bytes(part.toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Nearest(pa.ipc.open_stream(held.value).read_all(), k, cosine, skip_self)
+            for batch in batches:
+                best.add(*batch.columns)
+            for found in best.best():
+                yield pa.RecordBatch.from_arrays(list(found), ["s", "query_id", "_score"])
+
+        return rows.mapInArrow(run, schema).select("s.*", "query_id", "_score")
+
     own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = [queries] if blocks == 1 else [queries.filter(own == b) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, (answer(F.broadcast(part)) for part in parts))
+    parts = [asked] if blocks == 1 else [asked.filter(own == b) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, map(answer, parts))
+
+
+def _as_bytes(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as writer:
+        writer.write_table(rows)
+    return out.getvalue().to_pybytes()
 
 
 def knn(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id", vector: str = "embedding", skip_self: bool = False) -> DataFrame:
     """(query_id, id_col, distance, rank): the k nearest rows of every query by L2, ties by id.
 
-    Blocks of queries against all rows: each task scores its rows and keeps k per query before
-    anything is shuffled (the rank filter becomes a partial top-k).
+    Blocks of queries against all rows: each task keeps k rows per query, and only those are shuffled.
     """
-
-    def answer(q: DataFrame) -> DataFrame:
-        pairs = store.select(id_col, vector).join(q, F.col(id_col) != F.col("query_id") if skip_self else F.size(vector) == F.size("_q"))
-        scored = pairs.select("query_id", id_col, F.sqrt(squared_distance(F.col(vector), F.col("_q"))).alias("distance"))
-        w = Window.partitionBy("query_id").orderBy("distance", id_col)
-        return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-    return _in_blocks(queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q")), answer)
+    found = _nearest(store.select(id_col, vector), queries, k, False, id_col, vector, skip_self)
+    w = Window.partitionBy("query_id").orderBy("distance", id_col)
+    return found.select("query_id", id_col, F.col("_score").alias("distance")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def matches(filters: Mapping[str, Any] | None) -> Column:
@@ -97,25 +108,24 @@ def merge_filters(config: Mapping[str, Any], explicit: Mapping[str, Any] | None
 def search(store: DataFrame, queries: DataFrame, k: int = 5, filters: Mapping[str, Any] | None = None, threshold: float | None = None, where: Callable[[], Column] | Column | None = None, prefilter: bool = False, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows of store with query_id, relevance_score and rank.
 
-    With filters, k * OVERFETCH candidates are ranked first and filtered after, so fewer than k may
-    come back; prefilter=True filters the store first.
+    Relevance is the cosine, computed in double; with a vector of zeros it is not a number, which
+    counts as the largest. With filters, k * OVERFETCH candidates are ranked first and filtered after,
+    so fewer than k may come back; prefilter=True filters the store first.
     """
     where = where() if callable(where) else where
     test = matches(filters) & (where if where is not None else F.lit(True))
     filtered = bool(filters) or where is not None or threshold is not None
     base = store.filter(test) if prefilter else store
 
-    def answer(q: DataFrame) -> DataFrame:
-        scored = base.join(q, F.size(vector) == F.size("_q")).withColumn("relevance_score", relevance(F.col(vector), F.col("_q"))).drop("_q", vector)
-        w = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), id_col)
-        top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= (k * OVERFETCH if filtered and not prefilter else k))
-        if filtered:
-            if threshold is not None:
-                top = top.filter(F.col("relevance_score") >= threshold)
-            top = top.filter(test).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        return top
-
-    return _in_blocks(queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q")), answer)
+    first = k * OVERFETCH if filtered and not prefilter else k
+    scored = _nearest(base, queries, first, True, id_col, vector).withColumnRenamed("_score", "relevance_score")
+    w = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), id_col)
+    top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= first)
+    if filtered:
+        if threshold is not None:
+            top = top.filter(F.col("relevance_score") >= threshold)
+        top = top.filter(test).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top
 
 
 def one_per_group(results: DataFrame, group: str, id_col: str = "vec_id") -> DataFrame:
