@@ -23,23 +23,30 @@ OVERFETCH = 5
 MAX_QUERIES = 32_768
 FEW_QUERIES, LEAST_TASKS = 256, 16
 DIMENSION = 384
+EMBEDDED = 1024  # texts that are taken apart at a time
 
 
 def hash_embed(text: Column, dimension: int = DIMENSION) -> Column:
-    """A deterministic embedding without a model: hashed words with signs, L2-normalised; blank texts count as one blank."""
+    """A deterministic embedding without a model: hashed words with signs, L2-normalised.
+
+    A text without words, or whose words cancel each other out, counts as one blank, so no vector is zero.
+    """
 
     @arrow_udf("array<float>")
     def embed(column: pa.Array) -> pa.Array:
         known: dict[str, int] = {}  # a word is hashed once per batch
-        texts = [re.findall(r"\w+", (value or "").lower()) or [" "] for value in column.to_pylist()]
-        for word in {w for words in texts for w in words}:
-            known[word] = zlib.crc32(word.encode())
-        h = np.array([known[w] for words in texts for w in words], np.int64)
-        row = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
-        sums = np.bincount(row * dimension + h % dimension, np.where(h >> 31, 1.0, -1.0), len(texts) * dimension).reshape(-1, dimension)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        out = (sums / np.where(size, size, 1)).astype(np.float32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dimension), pa.array(out.ravel()))
+        sums = np.zeros((len(column), dimension))
+        for low in range(0, len(column), EMBEDDED):
+            texts = [re.findall(r"\w+", (value or "").lower()) or [" "] for value in column.slice(low, EMBEDDED).to_pylist()]
+            for word in {w for words in texts for w in words} - known.keys():
+                known[word] = zlib.crc32(word.encode())
+            h = np.array([known[w] for words in texts for w in words], np.int64)
+            row = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+            sums[low : low + len(texts)] = np.bincount(row * dimension + h % dimension, np.where(h >> 31, 1.0, -1.0), len(texts) * dimension).reshape(-1, dimension)
+        blank = zlib.crc32(b" ")
+        sums[~sums.any(axis=1), blank % dimension] = 1.0 if blank >> 31 else -1.0
+        out = (sums / np.linalg.norm(sums, axis=1, keepdims=True)).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * dimension), pa.array(out.ravel()))
 
     return embed(text)
 

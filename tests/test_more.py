@@ -121,6 +121,16 @@ def test_hash_embeddings(spark):
     assert all(abs(sum(x * x for x in r.v) - 1) < 1e-5 and len(r.v) == 16 for r in rows) and rows[1].v == rows[2].v
 
 
+def test_texts_whose_words_cancel_do_not_break_a_search(spark):
+    # w0 and w88 share a place of 64 with other signs
+    rows = spark.createDataFrame([("a", "w0 w88"), ("b", "w0 other"), ("c", "")], "chunk_id string, page_content string")
+    embed = lambda c: retrieval.hash_embed(c, 64)
+    store = retrieval.build_store(rows, embed=embed)
+    by_id = {r.chunk_id: r.embedding for r in store.collect()}
+    assert by_id["a"] == by_id["c"] and sum(map(abs, by_id["a"])) == 1.0
+    assert [r.chunk_id for r in retrieval.retrieve(spark, store, "w0", 1, embed=embed).collect()] == ["b"]
+
+
 def test_shared_tables_are_purged(spark):
     start = shared.made()
     a, b = (shared.materialize(spark.range(3), "t") for _ in "ab")
