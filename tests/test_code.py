@@ -3,7 +3,7 @@
 import pytest
 
 from corvane.operators import outline, pyast, structure
-from corvane.plans import review, snippets
+from corvane.plans import catalog, review, snippets
 
 
 def rules_of(source, path="src/a.py"):
@@ -180,3 +180,32 @@ def test_confirmations(spark):
     replies = spark.createDataFrame([('{"title": "a", "severity": "high", "confidence": 7}',), ('[{"title": "b", "line": -4}, {"x": 1}]',), ("nope",)], "reply string")
     got = sorted((r.title, r.severity, r.confidence, r.line) for r in review.confirmations(replies).collect())
     assert got == [("a", "HIGH", 1.0, 1), ("b", "MEDIUM", 0.5, 1)]
+
+
+@pytest.mark.parametrize("kinds", [["rule"], ["metric"], ["error"], ["import", "class", "function"], ["import", "entity"]])
+def test_kinds_alone_are_those_of_the_whole_analysis(kinds):
+    deep = "+".join(["a"] * 1500)
+    sources = [s for _, lang, s in snippets.FILES if lang == "python"] + ["def f(:", "x = 1\0", "", f"def f(x: {deep}):\n    pass", f"@{deep}\ndef f(): pass"]
+    for source in sources:
+        want = [r for r in pyast.analyse(source) if r[0] in kinds or r[0] == "error"]
+        assert list(pyast.analyse(source, kinds=frozenset(kinds))) == want
+
+
+def test_a_key_that_is_a_huge_number_is_no_error():
+    assert [r[0] for r in pyast.analyse("x[0x" + "f" * 6000 + "] = 1")] == ["entity"]
+
+
+def test_modules_in_one_pass_equal_those_out_of_facts(spark):
+    files = spark.createDataFrame([("r", p, lang, s) for p, lang, s in [*snippets.FILES, ("app/broken.py", "python", "def f(:"), ("app/none.py", "python", None)]], "repo_id string, file_path string, language string, content string")
+    python = files.filter("language = 'python' and content is not null")
+    found = review.python_modules(files)
+    assert sorted(found.collect()) == sorted(review.module_summary(python, pyast.analyse_files(python, ["repo_id"])).select(*found.columns).collect())
+
+
+def test_generated_files_are_filtered_and_analysed_once_each(spark, sf):
+    for name in ("module_summary", "repository_properties", "ast_rules", "scan_errors"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        lines = plan.splitlines()
+        gathered = next(i for i, x in enumerate(lines) if "Aggregate" in x and "collect_list" in x)
+        assert not any("RLIKE" in x for x in lines[gathered:])  # a row per file, not per line of lineitem
+        assert "Join" not in plan and plan.count("MapInArrow") == 1
